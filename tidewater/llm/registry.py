@@ -11,6 +11,18 @@ from tidewater.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.exact import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.jaccard import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.sharding import shard
 
@@ -25,10 +37,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_exact_dedup": op2_exact_dedup,
+        "op3_jaccard_join": op3_jaccard_join,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidewater.llm import exact
+
+    return {"op2_exact_dedup": exact.ORACLE_SQL}
