@@ -23,6 +23,12 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.mixing import mixed_rows
+
+    return mixed_rows(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.sharding import shard
 
@@ -39,12 +45,13 @@ def queries() -> dict[str, Query]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op3_jaccard_join": op3_jaccard_join,
+        "op5_mixing": op5_mixing,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidewater.llm import exact
+    from tidewater.llm import exact, mixing
 
-    return {"op2_exact_dedup": exact.ORACLE_SQL}
+    return {"op2_exact_dedup": exact.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL}
