@@ -23,6 +23,12 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.mixing import mixed_rows
 
@@ -45,6 +51,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_packing": op4_packing,
         "op5_mixing": op5_mixing,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
