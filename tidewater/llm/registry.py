@@ -35,6 +35,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.vectors import vector_groups
+
+    return vector_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.sharding import shard
 
@@ -53,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op3_jaccard_join": op3_jaccard_join,
         "op4_packing": op4_packing,
         "op5_mixing": op5_mixing,
+        "op8_vector_dedup": op8_vector_dedup,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
     }
