@@ -11,6 +11,12 @@ from tidewater.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.exact import exact_groups
 
@@ -55,6 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_packing": op4_packing,
@@ -66,6 +73,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidewater.llm import exact, mixing
+    from tidewater.llm import exact, licenses, mixing
 
-    return {"op2_exact_dedup": exact.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL}
+    return {"op1_license_scan": licenses.ORACLE_SQL, "op2_exact_dedup": exact.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL}
