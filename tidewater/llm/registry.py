@@ -41,6 +41,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_rows(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.vectors import vector_groups
 
@@ -66,6 +72,7 @@ def queries() -> dict[str, Query]:
         "op3_jaccard_join": op3_jaccard_join,
         "op4_packing": op4_packing,
         "op5_mixing": op5_mixing,
+        "op6_language_id": op6_language_id,
         "op8_vector_dedup": op8_vector_dedup,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
