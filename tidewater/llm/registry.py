@@ -47,6 +47,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.chat import format_conversations, read_back
+
+    tricky = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(rows.union(more)))
+
+
 def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.vectors import vector_groups
 
@@ -73,6 +82,7 @@ def queries() -> dict[str, Query]:
         "op4_packing": op4_packing,
         "op5_mixing": op5_mixing,
         "op6_language_id": op6_language_id,
+        "op7_chat_format": op7_chat_format,
         "op8_vector_dedup": op8_vector_dedup,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
