@@ -16,21 +16,55 @@ from tidewater.llm.common import importable, partitions, written
 LEAD = 32
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers the runs of equal neighbours (doc_id, digest, body) in a sorted partition.
+def _runs(body: int):
+    """Adds to a sorted stream the number of each run of equal neighbours, and whether a row begins one.
 
-    Neighbours are compared in full; only the row before a batch is kept from one batch to the next.
+    Neighbours are compared in full in the column `body`, which goes no further; only the row before
+    a batch is kept from one batch to the next.
     """
-    run, before = -1, None
-    for b in batches:
-        body = b.column(2)
-        if not len(body):
-            continue
-        ahead = pc.equal(body.slice(1), body.slice(0, len(body) - 1)).to_numpy(zero_copy_only=False)
-        new = np.concatenate(([before is None or body[0].as_py() != before], ~ahead))
-        numbers = run + np.cumsum(new)
-        run, before = int(numbers[-1]), body[len(body) - 1].as_py()
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(numbers.astype(np.int64))], names=["doc_id", "digest", "run"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, before = -1, None
+        for b in batches:
+            text = b.column(body)
+            if not len(text):
+                continue
+            same = pc.equal(text.slice(1), text.slice(0, len(text) - 1)).to_numpy(zero_copy_only=False)
+            new = np.concatenate(([before is None or text[0].as_py() != before], ~same))
+            numbers = at + np.cumsum(new)
+            at, before = int(numbers[-1]), text[len(text) - 1].as_py()
+            kept = [i for i in range(b.num_columns) if i != body]
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(i) for i in kept), pa.array(numbers.astype(np.int64)), pa.array(new)], names=[*(b.schema.names[i] for i in kept), "_run", "_new"]
+            )
+
+    return run
+
+
+def _content_sorted(df: DataFrame, key: str, text: str) -> DataFrame:
+    """df's rows in runs of equal texts, with _doc, _digest, _run, _new and _at (partition and place)."""
+    importable(df.sparkSession)
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    bare = F.regexp_replace(whole, "[\\x20\\x09-\\x0D]", "").cast("binary")
+    rows = df.withColumn("_doc", F.col(f"`{key}`").cast("long")).withColumn("_rank", F.negative(F.length(whole))).withColumn("_body", bare)
+    rows = rows.withColumn("_digest", F.unhex(F.sha2("_body", 256))).withColumn("_lead", F.substring("_body", 1, LEAD))
+    order = [F.col("_lead"), F.col("_digest"), F.col("_rank"), F.col("_doc").asc_nulls_last()]
+    dealt = rows.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order).drop("_lead", "_rank")
+    fields = ", ".join(f"`{c}` {t}" for c, t in dealt.dtypes if c != "_body")
+    runs = dealt.mapInArrow(_runs(dealt.columns.index("_body")), f"{fields}, _run long, _new boolean")
+    return written(runs.withColumn("_at", F.monotonically_increasing_id()))
+
+
+def _fates(runs: DataFrame) -> DataFrame:
+    """A row for each run of a partition: its place, and the size, keeper and keeper's place of its whole group."""
+    each = (
+        runs.groupBy(F.shiftright("_at", 33).alias("_part"), "_run", "_digest")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min_by("_doc", "_at").alias("_head"), F.min("_at").alias("_first"))
+    )
+    whole = each.groupBy(F.col("_digest").alias("_same")).agg(
+        F.sum("_n").alias("group_size"), F.min("_first").alias("_keep_at"), F.min_by("_head", "_first").alias("keep_id")
+    )
+    return written(each.join(whole, F.col("_digest") == F.col("_same")).select("_part", "_run", "_first", "group_size", "_keep_at", "keep_id"))
 
 
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,33 +80,26 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     stream compares neighbours in full. A run that goes on in the next partition is joined up by
     one summary row per run and partition.
     """
-    importable(df.sparkSession)
-    body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]", "")
-    rows = df.select(
-        F.col(key).cast("long").alias("doc_id"),
-        F.length(F.coalesce(F.col(text), F.lit(""))).alias("points"),
-        body.cast("binary").alias("body"),
-    ).select(
-        "doc_id",
-        F.unhex(F.sha2("body", 256)).alias("digest"),
-        "body",
-        F.substring("body", 1, LEAD).alias("lead"),
-        F.negative("points").alias("rank"),
-    )
-    order = [F.col("lead"), F.col("digest"), F.col("rank"), F.col("doc_id").asc_nulls_last()]
-    dealt = rows.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
-    runs = dealt.select("doc_id", "digest", "body").mapInArrow(_runs, "doc_id long, digest binary, run long")
-    runs = written(runs.withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
-    each = runs.groupBy("part", "run", "digest").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", "at").alias("head"), F.min("at").alias("at"))
-    whole = each.groupBy(F.col("digest").alias("same")).agg(
-        F.sum("n").alias("group_size"), F.min("at").alias("keep_at"), F.min_by("head", "at").alias("keep_id")
-    )
-    fate = written(each.join(whole, F.col("digest") == F.col("same")).select("part", "run", "group_size", "keep_at", "keep_id"))
-    return runs.join(fate, ["part", "run"]).select(
-        "doc_id", "keep_id", "group_size", (F.col("at") == F.col("keep_at")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    runs = _content_sorted(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text").select("_doc", "_digest", "_run", "_at")
+    fate = _fates(runs)
+    rows = runs.withColumn("_part", F.shiftright("_at", 33)).join(fate, ["_part", "_run"])
+    return rows.select(
+        F.col("_doc").alias("doc_id"), "keep_id", "group_size", (F.col("_at") == F.col("_keep_at")).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256")
     )
 
 
+def drop_exact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with one row of each group of equal texts, by the rules of exact_groups; all its columns.
+
+    Rows travel whole through the content sort. A run's first row stays unless its group began in
+    an earlier partition; there are at most as many of those as partitions.
+    """
+    runs = _content_sorted(df, key, text)
+    late = _fates(runs.select("_doc", "_digest", "_run", "_at")).where("_first <> _keep_at").select(F.col("_first").alias("_late"))
+    kept = runs.where("_new").join(written(late), F.col("_at") == F.col("_late"), "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 ORACLE_SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,

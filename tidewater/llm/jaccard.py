@@ -401,3 +401,14 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
     return docs.join(fate, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def drop_near(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """df with one row of each component of linked texts, the one with the smallest key; all its columns.
+
+    Rows that share a key stay or go together: they stay if the smallest key of one of them is its own.
+    """
+    groups = written(jaccard_groups(df, key, text, words).select("doc_id", "component_id"))
+    rows = groups.groupBy("doc_id").agg(F.max(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("stays"))
+    gone = written(rows.where("not stays").select(F.col("doc_id").alias("_gone")))
+    return df.join(gone, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_gone")), "left_anti")

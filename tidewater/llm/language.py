@@ -257,3 +257,10 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     model = fit(df, key, text, lang, path)
     rows = df.select(F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out"), F.col(text).alias("text"))
     return predict(rows, model, "doc_id", "text", path).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def drop_unknown(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", path: str | None = None) -> DataFrame:
+    """df without the rows whose language is `und`; all its columns."""
+    model = fit(df, key, text, lang, path)
+    seen = predict(df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)]), model, key, f"_c{df.columns.index(text)}", path)
+    return seen.where(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns)])

@@ -149,6 +149,28 @@ def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: s
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
+def drawn(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """df as the mix takes it, with all its columns: each row as often as a slot takes its first word.
+
+    Texts stay whole, so a source's words come near its target to within a document or two a pass.
+    Rows without words are not drawn; rows that share a key are drawn alike, as often as the one
+    drawn most.
+    """
+    made = mix(df, key, text, source)
+    slots = made["slots"].select(F.col("number").alias("_n"), F.col("block").alias("_b"), "until")
+    heads = made["pieces"].where("begin = start")
+    times = (
+        heads.join(slots, (F.col("number") == F.col("_n")) & (F.col("block") == F.col("_b")))
+        .where("until > begin")
+        .groupBy("number", "start", "doc_id")
+        .count()
+        .groupBy(F.col("doc_id").alias("_doc"))
+        .agg(F.max("count").cast("int").alias("_times"))
+    )
+    rows = df.join(written(times), F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_doc")))
+    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
