@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Modules that define queries Q and their SQL S.
+MODULES = ["tidewater.plans.queries"]
+
+
+def _all(part: str) -> dict:
+    found: dict = {}
+    for name in MODULES:
+        found |= getattr(importlib.import_module(name), part)
+    return found
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return _all("Q")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("S")
