@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Edges that one task may join up.
+FEW = 500_000
 _REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -74,18 +79,43 @@ def numbered(df: DataFrame, group: str, order: list, out: str) -> DataFrame:
     )
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges (v, u) of one task: smaller labels spread over edges and roots until none changes."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not sum(len(v) for v, _ in held):
+        return
+    ends = np.concatenate([v for v, _ in held] + [u for _, u in held])
+    nodes, place = np.unique(ends, return_inverse=True)
+    x, y = place[: len(place) // 2], place[len(place) // 2 :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        for at in (x, y, label[x], label[y]):
+            np.minimum.at(new, at, least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "root"])
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root) with the smallest node as root.
 
     Large-star and small-star rounds until the stars stand still. Every round is aggregation and
     join on node ids, written to the shared scratch folder; nothing but a change count reaches the
-    driver. Nodes without an edge to another node have no row.
+    driver. Up to `few` edges, which is counted first, one task joins them up instead: that many fit
+    any task and spare the rounds. Nodes without an edge to another node have no row.
     """
     now = written(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
         .distinct()
     )
+    if now.count() <= few:
+        return written(now.coalesce(1).mapInArrow(_joined, "node long, root long"))
     seen = None
     while True:
         both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).union(now.select(F.col("u").alias("x"), F.col("v").alias("y")))
