@@ -34,8 +34,8 @@ FREQUENT = 32
 LISTED = 500_000
 #: Documents in a block that is compared in full.
 BLOCK = 256
-#: Shingles gathered before a task sends its counts on.
-GATHER = 4_000_000
+#: Shingles gathered before a task sends its counts on, and postings.
+GATHER, POSTED = 4_000_000, 1_000_000
 
 _POST = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("level", "<u2"), ("asks", "<u2"), ("hub", "u1")])
 
@@ -219,7 +219,7 @@ def _prefixes(often, ranges: int, words: int):
                     if hub != node:
                         chained.add((hub, node))
             yield out(0, docs=docs, ns=ns, nodes=nodes)
-            if size >= GATHER or len(chained) >= 500_000:
+            if size >= POSTED or len(chained) >= 500_000:
                 yield from flush()
         if hubs:
             post(np.fromiter(hubs.keys(), np.uint64, len(hubs)), np.fromiter(hubs.values(), np.int64, len(hubs)), 0, 0, 0, 1)
@@ -386,7 +386,7 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
             )
 
     held = (
-        texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]))
+        texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["doc_id"]))  # candidates grow with the corpus: one plan at all sizes
         .select("node", "grp", "aims", "text")
         .mapInArrow(sets, "node long, grp long, aims array<struct<i:int,j:int,side:int>>, body binary")
         .select("grp", F.explode("aims").alias("t"), "node", "body")
