@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules that define queries Q and their SQL S.
-MODULES = ["tidewater.plans.queries", "tidewater.operators.event_queries"]
+MODULES = ["tidewater.plans.queries", "tidewater.operators.event_queries", "tidewater.sources.queries"]
 
 
 def _all(part: str) -> dict:
