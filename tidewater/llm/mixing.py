@@ -84,7 +84,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     plan = plan.withColumn("first_slots", stretch(F.col("first_pass"))).withColumn("slots", F.col("first_slots") + stretch(F.col("second_pass")))
     upto = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
     plan = plan.withColumn("to_slot", F.sum("slots").over(upto)).withColumn("all_slots", F.sum("slots").over(Window.partitionBy(F.lit(1))))
-    plan = plan.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("docs") / 20000)).cast("long"))
+    plan = plan.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("docs") / 2000)).cast("long"))
     plan = written(plan.withColumn("from_slot", F.col("to_slot") - F.col("slots")))
 
     # Where each document begins in its shuffled source: sums over buckets of places, then within a bucket.
