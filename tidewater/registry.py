@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules that define queries Q and their SQL S.
-MODULES = ["tidewater.plans.queries", "tidewater.operators.event_queries", "tidewater.sources.queries", "tidewater.operators.insight_queries"]
+MODULES = [
+    "tidewater.plans.queries",
+    "tidewater.operators.event_queries",
+    "tidewater.sources.queries",
+    "tidewater.operators.insight_queries",
+    "tidewater.operators.text_queries",
+]
 
 
 def _all(part: str) -> dict:
