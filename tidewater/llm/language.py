@@ -209,6 +209,8 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
         return [], np.zeros(0), np.zeros((0, 0))
     each = max(1, sample // len(counts))
     shares = df.sparkSession.createDataFrame([(name, min(1.0, each / n)) for name, n in counts], "_l string, share double")
+    if len(counts) <= 10_000:
+        shares = F.broadcast(shares)
     drawn = labelled.join(shares, F.col("l") == F.col("_l")).where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     words = drawn.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit("\\p{L}+"), F.lit(0))).alias("w")).where("length(w) <= 64")
     top = words.groupBy("l", "w").count().orderBy(F.desc("count"), "w", "l").limit(TYPES)
