@@ -41,10 +41,15 @@ def words(text: Column, stop: bool = True) -> Column:
 
 
 def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
-    """Runs of low to high neighbouring tokens, joined by spaces."""
-    parts = [F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")) if n > 1 else tokens for n in range(low, high + 1)]
-    sized = [F.when(F.size(tokens) >= n, p).otherwise(F.array().cast("array<string>")) for n, p in zip(range(low, high + 1), parts, strict=True)]
-    return F.concat(*sized)
+    """Runs of low to high neighbouring tokens, joined by spaces. tokens should be a column of its own, it is used often."""
+    grams, out = tokens, []
+    for n in range(1, high + 1):
+        if n > 1:
+            long = F.greatest(F.lit(0), F.size(tokens) - n + 1)
+            grams = F.zip_with(F.slice(grams, 1, long), F.slice(tokens, n, long), lambda a, b: F.concat_ws(" ", a, b))
+        if n >= low:
+            out.append(grams)
+    return F.concat(*out)
 
 
 _CODE = re.compile(r"[\w./\\-]+\.\w{1,5}|\w+::[\w:]+|[Ee]\d{3,5}|[Vv]\d+(?:\.\d+)*|[A-Z][A-Z0-9_]{3,}")
@@ -88,7 +93,8 @@ def code_tokens(text: Column) -> Column:
 
 def index(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows (key, text, terms): lower-case text and its distinct words and pairs of neighbouring words."""
-    return df.select(F.col(key), row_text(df, columns).alias("text")).withColumn("terms", F.array_distinct(ngrams(words(F.col("text")), 1, 2)))
+    rows = df.select(F.col(key), row_text(df, columns).alias("text")).withColumn("_words", words(F.col("text")))
+    return rows.withColumn("terms", F.array_distinct(ngrams(F.col("_words"), 1, 2))).drop("_words")
 
 
 def doc_freq(indexed: DataFrame, least: int = LEAST_DF) -> DataFrame:

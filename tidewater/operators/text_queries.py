@@ -16,8 +16,8 @@ S: dict[str, str] = {}
 _STOP = ", ".join(f"'{w}'" for w in sorted(X.STOP_WORDS))
 _WORDS = rf"""d AS (SELECT doc_id, lower(text) AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+(?:[''’.:][\p{{L}}\p{{N}}_]+)*'),
-      x -> strlen(x) BETWEEN 2 AND 100 AND regexp_matches(x, '[\p{{L}}\p{{N}}]') AND x NOT IN ({_STOP})) AS words FROM d),
-i AS (SELECT doc_id, t, list_distinct(words || [words[k] || ' ' || words[k + 1] FOR k IN range(1, len(words))]) AS terms FROM w),
+      lambda x: strlen(x) BETWEEN 2 AND 100 AND regexp_matches(x, '[\p{{L}}\p{{N}}]') AND x NOT IN ({_STOP})) AS words FROM d),
+i AS (SELECT doc_id, t, list_distinct(words || list_transform(list_zip(words[:-2], words[2:]), lambda p: p[1] || ' ' || p[2])) AS terms FROM w),
 f AS (SELECT term, count(*) AS df FROM (SELECT unnest(terms) AS term FROM i) GROUP BY 1 HAVING count(*) >= 2)"""
 
 
