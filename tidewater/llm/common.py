@@ -54,6 +54,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def neutral(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns called c0, c1, .. so that no name of its own can clash, and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def numbered(df: DataFrame, group: str, order: list, out: str) -> DataFrame:
     """Adds `out`, a gapless number from 0 within each group (never null) in the given order.
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import importable, partitions, written
+from tidewater.llm.common import importable, neutral, partitions, written
 
 #: Bytes of the normalised text that the splitters are made of; the digest and the rank follow them.
 LEAD = 32
@@ -94,10 +94,11 @@ def drop_exact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Rows travel whole through the content sort. A run's first row stays unless its group began in
     an earlier partition; there are at most as many of those as partitions.
     """
-    runs = _content_sorted(df, key, text)
+    plain, names = neutral(df)
+    runs = _content_sorted(plain, names[key], names[text])
     late = _fates(runs.select("_doc", "_digest", "_run", "_at")).where("_first <> _keep_at").select(F.col("_first").alias("_late"))
     kept = runs.where("_new").join(written(late), F.col("_at") == F.col("_late"), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 ORACLE_SQL = r"""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import components, importable, numbered, partitions, written
+from tidewater.llm.common import components, importable, neutral, numbered, partitions, written
 from tidewater.llm.shingles import WORDS, set_id, shingle_sets
 
 #: Links need 100 * intersection >= PERCENT * union.
@@ -411,4 +411,6 @@ def drop_near(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
     groups = written(jaccard_groups(df, key, text, words).select("doc_id", "component_id"))
     rows = groups.groupBy("doc_id").agg(F.max(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("stays"))
     gone = written(rows.where("not stays").select(F.col("doc_id").alias("_gone")))
-    return df.join(gone, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    plain, names = neutral(df)
+    kept = plain.join(gone, F.col(names[key]).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])

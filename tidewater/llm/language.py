@@ -171,6 +171,8 @@ class Words(dict):
         self.rows = np.concatenate((self.rows, rows))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if not self.langs:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
         split = [(t or "").lower().split() for t in texts]
         need = set().union(*split)
         if not need <= self.keys():
@@ -178,7 +180,7 @@ class Words(dict):
         names, scores = [], []
         for chunks in split:
             total = self.rows[np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))].sum(axis=0)
-            if not total[-1] or not self.langs:
+            if not total[-1]:
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue

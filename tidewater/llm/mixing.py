@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import written
+from tidewater.llm.common import neutral, written
 
 #: Weights that sources get in the order of their names, over and over.
 WEIGHTS = (3, 1, 2)
@@ -167,8 +167,9 @@ def drawn(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         .groupBy(F.col("doc_id").alias("_doc"))
         .agg(F.max("count").cast("int").alias("_times"))
     )
-    rows = df.join(written(times), F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_doc")))
-    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    plain, names = neutral(df)
+    rows = plain.join(written(times), F.col(names[key]).cast("long").eqNullSafe(F.col("_doc")))
+    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 ORACLE_SQL = r"""

@@ -115,7 +115,8 @@ def pack(
     All documents' ids, each document ended by id 1, are packed into sequences of `length`. A window
     of `window` sequences holds every source in its target proportion to within a token: by default
     the sources' own shares, so that all run dry together, or the given weights of sources until one
-    runs dry. Every sequence but the last is full. A null text is empty and gives its end id; a null
+    runs dry; sources of under 1 in QUEUES of the tokens wait in one queue together, in the order of
+    their names. Every sequence but the last is full. A null text is empty and gives its end id; a null
     source is a source of its own; repeated rows are packed each; an empty df gives no rows. Other
     columns of df are ignored.
 
