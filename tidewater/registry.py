@@ -15,6 +15,7 @@ MODULES = [
     "tidewater.sources.queries",
     "tidewater.operators.insight_queries",
     "tidewater.operators.text_queries",
+    "tidewater.streaming.queries",
 ]
 
 
