@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import importable
+from tidewater.llm.common import held, importable
 from tidewater.llm.shingles import mixed
 
 UNKNOWN = "und"
@@ -26,7 +26,7 @@ SAMPLE, TYPES, ROUNDS = 4000, 40_000, 3
 #: Bytes of a longer word that are scored together, and of the longest piece that is used.
 STRETCH, LONGEST = 32, 12
 #: Words that a worker's table may hold before it starts again, and texts scored together.
-TABLE, TOGETHER = 400_000, 256
+TABLE, TOGETHER = 300_000, 256
 _WORD = re.compile(r"[^\W\d_]+")
 _B = np.uint64(0x9E3779B97F4A7C13)
 
@@ -95,13 +95,13 @@ def stretches(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             owner.append(i)
             parts.append(part)
     for width, (owner, parts) in by.items():
-        for lo in range(0, len(parts), 20_000):
-            chunk = parts[lo : lo + 20_000]
-            yield np.array(owner[lo : lo + 20_000]), np.frombuffer(b"".join(chunk), np.uint8).reshape(len(chunk), width)
+        for lo in range(0, len(parts), 8000):
+            chunk = parts[lo : lo + 8000]
+            yield np.array(owner[lo : lo + 8000]), np.frombuffer(b"".join(chunk), np.uint8).reshape(len(chunk), width)
 
 
-def forward(rows: np.ndarray, lexicon: Lexicon, table: np.ndarray) -> tuple[np.ndarray, list]:
-    """Sums over all segmentations of each row's prefixes, (end + 1, row, language), and the pieces met."""
+def forward(rows: np.ndarray, lexicon: Lexicon, table: np.ndarray, noted: bool = False) -> tuple[np.ndarray, list]:
+    """Sums over all segmentations of each row's prefixes, (end + 1, row, language), and the pieces met, if they are noted."""
     n, width = rows.shape
     sums = np.zeros((width + 1, n, table.shape[1]))
     sums[0] = 1
@@ -110,7 +110,8 @@ def forward(rows: np.ndarray, lexicon: Lexicon, table: np.ndarray) -> tuple[np.n
         piece = lexicon.find(h)
         there = np.flatnonzero(piece < lexicon.size)
         if len(there):
-            met.append((begin, end, there, piece[there]))
+            if noted:
+                met.append((begin, end, there, piece[there]))
             sums[end, there] += sums[begin, there] * table[piece[there]]
     return sums, met
 
@@ -132,7 +133,7 @@ def train(counts: dict[str, np.ndarray], lexicon: Lexicon, langs: int, rounds: i
     for _ in range(rounds):
         used = np.full((lexicon.size, langs), 0.05)
         for owner, rows in stretches(words):
-            sums, met = forward(rows, lexicon, table)
+            sums, met = forward(rows, lexicon, table, True)
             back = np.zeros_like(sums)
             back[-1] = 1
             for begin, end, there, piece in reversed(met):
@@ -191,10 +192,6 @@ class Words(dict):
         return names, scores
 
 
-#: This worker's tables of the model it last used.
-_known: dict[str, Words] = {}
-
-
 def held_out(key: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
@@ -234,10 +231,7 @@ def predict(df: DataFrame, model, key: str = "doc_id", text: str = "text", path:
     token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _known:
-            _known.clear()
-            _known[token] = Words(*shared.value, path)
-        words = _known[token]
+        words = held(f"words {token}", lambda: Words(*shared.value, path))
         for b in batches:
             for lo in range(0, b.num_rows, TOGETHER):
                 part = b.slice(lo, TOGETHER)

@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewater.llm.common import importable
+from tidewater.llm.common import held, importable
 
 LIMIT = 2048
 #: Entries that a worker's chunk table may hold before it starts again.
-TABLE = 600_000
+TABLE = 300_000
 #: Characters on which lower-casing, composition, white space and letter classes are the same here and in the library.
 _ODD = re.compile("[^\t-\r -~À-ÖØ-öø-įı-ſ]")
 _PIECES = re.compile("[a-zß-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\sa-z0-9ß-öø-ſ]+")
@@ -104,14 +104,9 @@ class Chunks(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
-_open: dict[str, Chunks] = {}
-
-
 def chunks(path: str) -> Chunks:
-    """This worker's table for a vocabulary file; it lives as long as the worker."""
-    if path not in _open:
-        _open[path] = Chunks(path)
-    return _open[path]
+    """This worker's table for a vocabulary file; it lives until the worker needs another one."""
+    return held(f"chunks {path}", lambda: Chunks(path))
 
 
 def count_tokens(df: DataFrame, path: str | None = None, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
