@@ -82,7 +82,7 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """
     runs = _content_sorted(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text").select("_doc", "_digest", "_run", "_at")
     fate = _fates(runs)
-    rows = runs.withColumn("_part", F.shiftright("_at", 33)).join(fate, ["_part", "_run"])
+    rows = runs.withColumn("_part", F.shiftright("_at", 33)).join(fate.hint("merge"), ["_part", "_run"])
     return rows.select(
         F.col("_doc").alias("doc_id"), "keep_id", "group_size", (F.col("_at") == F.col("_keep_at")).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256")
     )

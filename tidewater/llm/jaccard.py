@@ -398,7 +398,7 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
     named = nodes.join(linked, "node", "left").withColumn("top", F.coalesce("root", "node"))
     least = named.groupBy("top").agg(F.min("doc_id").alias("component_id"))
     fate = written(named.join(least, "top").select("node", "component_id"))
-    return docs.join(fate, "node", "left").select(
+    return docs.join(fate.hint("merge"), "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
@@ -412,5 +412,5 @@ def drop_near(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
     rows = groups.groupBy("doc_id").agg(F.max(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("stays"))
     gone = written(rows.where("not stays").select(F.col("doc_id").alias("_gone")))
     plain, names = neutral(df)
-    kept = plain.join(gone, F.col(names[key]).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    kept = plain.join(gone.hint("merge"), F.col(names[key]).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -168,7 +168,7 @@ def drawn(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         .agg(F.max("count").cast("int").alias("_times"))
     )
     plain, names = neutral(df)
-    rows = plain.join(written(times), F.col(names[key]).cast("long").eqNullSafe(F.col("_doc")))
+    rows = plain.join(written(times).hint("merge"), F.col(names[key]).cast("long").eqNullSafe(F.col("_doc")))
     return rows.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 

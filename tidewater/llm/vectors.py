@@ -208,7 +208,7 @@ def vector_groups(df: DataFrame, cosine: float = COSINE, key: str = "vec_id", ve
     whole = nodes.select("node", "vec_id", "n").join(links, "node", "left").join(joined, "node", "left").withColumn("top", F.coalesce("root", "node"))
     least = whole.groupBy("top").agg(F.min("vec_id").alias("component_id"))
     fate = written(whole.join(least, "top").select("node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"))
-    return named.select("vec_id", "node").join(fate, "node", "left").select(
+    return named.select("vec_id", "node").join(fate.hint("merge"), "node", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.when(F.col("node").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
