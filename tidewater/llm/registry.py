@@ -90,6 +90,13 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidewater.llm import exact, licenses, mixing
+    from tidewater.llm import exact, licenses, mixing, oracles
 
-    return {"op1_license_scan": licenses.ORACLE_SQL, "op2_exact_dedup": exact.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL}
+    return {
+        "op1_license_scan": licenses.ORACLE_SQL,
+        "op2_exact_dedup": exact.ORACLE_SQL,
+        "op3_jaccard_join": oracles.JACCARD,
+        "op5_mixing": mixing.ORACLE_SQL,
+        "op7_chat_format": oracles.CHAT,
+        "op8_vector_dedup": oracles.VECTORS,
+    }
