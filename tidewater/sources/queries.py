@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.session import shared_dir
 from tidewater.sources import store as st
 
 Q: dict = {}
@@ -16,12 +13,7 @@ S: dict[str, str] = {}
 
 
 def _store(spark: SparkSession) -> st.Store:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "tidewater-scratch")
-    return st.Store(spark, f"{root}/store-{uuid.uuid4().hex}")
+    return st.Store(spark, shared_dir(spark, "store"))
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
