@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,17 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Edges that one task may join up.
-FEW = 500_000
-_REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from tidewater.session import importable, shared_dir
 
+__all__ = ["components", "held", "importable", "neutral", "numbered", "partitions", "table", "written"]
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it is not installed; workers started later see it."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _REPO not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_REPO, *paths])
+#: Edges that one task may join up.
+FEW = 500_000
 
 
 _held: dict[str, object] = {}
@@ -45,23 +37,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only a local master may go without that setting; it gets a folder of its own.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "tidewater-scratch")
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, sort_by: list[str] | None = None) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared scratch folder and reads it back."""
     spark = df.sparkSession
-    path = scratch_dir(spark)
+    path = shared_dir(spark, "llm")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
