@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, sort_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared scratch folder and reads it back."""
     spark = df.sparkSession
     path = shared_dir(spark, "llm")
