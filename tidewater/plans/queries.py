@@ -140,3 +140,34 @@ _chain(
     """SELECT r_regionkey, max(r_name) FILTER (r_name = 'AFRICA') AS "AFRICA", max(r_name) FILTER (r_name = 'AMERICA') AS "AMERICA", max(r_name) FILTER (r_name = 'ASIA') AS "ASIA",
        max(r_name) FILTER (r_name = 'EUROPE') AS "EUROPE", max(r_name) FILTER (r_name = 'MIDDLE EAST') AS "MIDDLE EAST" FROM region GROUP BY 1""",
 )
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidewater.operators.display import nested_order
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    kind = F.when(F.col("p_partkey") % 7 == 0, None).when(F.col("p_partkey") % 5 == 0, "other").otherwise(F.col("p_type"))
+    return nested_order(part.groupBy(kind.alias("kind"), F.col("p_size").alias("size")).agg(F.count(F.lit(1)).alias("n")), ["kind", "size"], "n")
+
+
+Q["display_nested_order"] = _nested
+S["display_nested_order"] = """
+WITH g AS (SELECT CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 'other' ELSE p_type END AS kind, p_size AS size, count(*) AS n FROM part GROUP BY 1, 2),
+t AS (SELECT *, sum(n) OVER (PARTITION BY kind) AS total FROM g)
+SELECT kind, size, n, CAST(row_number() OVER (ORDER BY total DESC, CASE WHEN kind IS NULL THEN 2 WHEN lower(kind) = 'other' THEN 1 ELSE 0 END, kind, n DESC, CAST(size AS VARCHAR)) AS INTEGER) AS place FROM t"""
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidewater.functions.labels import period_key
+
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy(period_key(text, "week").alias("week"), period_key(text, "month").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
+Q["period_keys"] = _keys
+S["period_keys"] = "SELECT strftime(ts, '%G-W%V') AS week, strftime(ts, '%Y-%m') AS month, count(*) AS n FROM events GROUP BY 1, 2"
