@@ -141,7 +141,7 @@ def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: s
     made = mix(df, key, text, source)
     slots = made["slots"].select(F.col("number").alias("_n"), F.col("block").alias("_b"), "until")
     taken = (
-        made["pieces"].join(slots, (F.col("number") == F.col("_n")) & (F.col("block") == F.col("_b")))
+        made["pieces"].join(slots.hint("merge"), (F.col("number") == F.col("_n")) & (F.col("block") == F.col("_b")))
         .groupBy(F.col("number").alias("_n"), F.col("start").alias("_start"))
         .agg(F.sum(F.greatest(F.lit(0), F.least(F.col("length"), F.col("until") - F.col("begin")))).cast("long").alias("taken"))
     )
@@ -160,7 +160,7 @@ def drawn(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     slots = made["slots"].select(F.col("number").alias("_n"), F.col("block").alias("_b"), "until")
     heads = made["pieces"].where("begin = start")
     times = (
-        heads.join(slots, (F.col("number") == F.col("_n")) & (F.col("block") == F.col("_b")))
+        heads.join(slots.hint("merge"), (F.col("number") == F.col("_n")) & (F.col("block") == F.col("_b")))
         .where("until > begin")
         .groupBy("number", "start", "doc_id")
         .count()
