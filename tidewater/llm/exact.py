@@ -41,15 +41,21 @@ def _runs(body: int):
     return run
 
 
-def _content_sorted(df: DataFrame, key: str, text: str) -> DataFrame:
-    """df's rows in runs of equal texts, with _doc, _digest, _run, _new and _at (partition and place)."""
+def _content_sorted(df: DataFrame, key: str, text: str, whole: bool) -> DataFrame:
+    """Rows in runs of equal texts, with _doc, _digest, _run, _new and _at (partition and place); df's own columns too, if whole.
+
+    One copy of the text is shuffled: the bare one, or with whole rows the original, stripped again behind the shuffle.
+    """
     importable(df.sparkSession)
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    bare = F.regexp_replace(whole, "[\\x20\\x09-\\x0D]", "").cast("binary")
-    rows = df.withColumn("_doc", F.col(f"`{key}`").cast("long")).withColumn("_rank", F.negative(F.length(whole))).withColumn("_body", bare)
+    full = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    bare = F.regexp_replace(full, "[\\x20\\x09-\\x0D]", "").cast("binary")
+    rows = df.withColumn("_body", bare).withColumn("_doc", F.col(f"`{key}`").cast("long")).withColumn("_rank", F.negative(F.length(full)))
     rows = rows.withColumn("_digest", F.unhex(F.sha2("_body", 256))).withColumn("_lead", F.substring("_body", 1, LEAD))
     order = [F.col("_lead"), F.col("_digest"), F.col("_rank"), F.col("_doc").asc_nulls_last()]
+    rows = rows.drop("_body") if whole else rows.select("_body", "_doc", "_rank", "_digest", "_lead")
     dealt = rows.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order).drop("_lead", "_rank")
+    if whole:
+        dealt = dealt.withColumn("_body", bare)
     fields = ", ".join(f"`{c}` {t}" for c, t in dealt.dtypes if c != "_body")
     runs = dealt.mapInArrow(_runs(dealt.columns.index("_body")), f"{fields}, _run long, _new boolean")
     return written(runs.withColumn("_at", F.monotonically_increasing_id()))
@@ -80,7 +86,7 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     stream compares neighbours in full. A run that goes on in the next partition is joined up by
     one summary row per run and partition.
     """
-    runs = _content_sorted(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text").select("_doc", "_digest", "_run", "_at")
+    runs = _content_sorted(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", whole=False)
     fate = _fates(runs)
     rows = runs.withColumn("_part", F.shiftright("_at", 33)).join(fate.hint("merge"), ["_part", "_run"])
     return rows.select(
@@ -95,7 +101,7 @@ def drop_exact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     an earlier partition; there are at most as many of those as partitions.
     """
     plain, names = neutral(df)
-    runs = _content_sorted(plain, names[key], names[text])
+    runs = _content_sorted(plain, names[key], names[text], whole=True)
     late = _fates(runs.select("_doc", "_digest", "_run", "_at")).where("_first <> _keep_at").select(F.col("_first").alias("_late"))
     kept = runs.where("_new").join(written(late), F.col("_at") == F.col("_late"), "left_anti")
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
