@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 from collections.abc import Callable, Iterator
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewater.session import importable, shared_dir
 
-__all__ = ["components", "held", "importable", "neutral", "numbered", "partitions", "table", "written"]
+__all__ = ["components", "held", "importable", "neutral", "numbered", "partitions", "table", "tidy", "written"]
 
 #: Edges that one task may join up.
 FEW = 500_000
@@ -33,6 +35,27 @@ def held(name: str, make: Callable[[], object]) -> object:
     return _held[name]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives a task's freed memory back to the system when it ends.
+
+    Idle workers otherwise keep it through the stages that follow.
+    """
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library than glibc
+                pass
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

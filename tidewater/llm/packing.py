@@ -11,13 +11,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import importable, written
-from tidewater.llm.tokens import chunks, vocabulary_path
+from tidewater.llm.common import importable, tidy, written
+from tidewater.llm.tokens import shipped, vocabulary_path
 
 #: Tokens in a sequence, sequences in a window, and the id that ends a document.
 LENGTH, WINDOW, END = 2048, 8, 1
 #: Sources with a smaller share than one in so many wait in one queue together.
 QUEUES = 4096
+#: Numbers that a worker keeps of the windows it has seen.
+SEEN = 500_000
 
 
 class Schedule:
@@ -60,7 +62,7 @@ class Schedule:
                 while left < 0:
                     got[np.argsort(np.where(got > 0, share - got, np.inf), kind="stable")[: -left]] -= 1
                     left = upto - int(got.sum())
-            if len(self.seen) > 4096:
+            if len(self.seen) * len(got) >= SEEN:
                 self.seen.clear()
             self.seen[w] = got
         return got
@@ -86,12 +88,15 @@ class Schedule:
 def tokenized(df: DataFrame, path: str, key: str, text: str, source: str, end: int = END) -> DataFrame:
     """Rows (doc_id, source, part, before, n, ids): 16-bit ids with the end id, and the tokens of the same source before it in its partition."""
 
+    made = shipped(df.sparkSession, path)
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part = chunks(path), TaskContext.get().partitionId()
+        table, part = made(), TaskContext.get().partitionId()
         tail = np.array([end], dtype=np.uint16).tobytes()
         held: dict[str | None, int] = {}
         for b in batches:
-            ids = [table.ids(t.as_py()) + tail for t in b.column(2)]
+            ids = [x.tobytes() + tail for x in table.ids(b.column(2))]
             n = [len(x) // 2 for x in ids]
             before = []
             for s, k in zip(b.column(1).to_pylist(), n, strict=True):
@@ -102,7 +107,7 @@ def tokenized(df: DataFrame, path: str, key: str, text: str, source: str, end: i
                 names=["doc_id", "source", "part", "before", "n", "ids"],
             )
 
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, "doc_id long, source string, part int, before long, n long, ids binary")
 
 
@@ -117,8 +122,9 @@ def pack(
     the sources' own shares, so that all run dry together, or the given weights of sources until one
     runs dry; sources of under 1 in QUEUES of the tokens wait in one queue together, in the order of
     their names. Every sequence but the last is full. A null text is empty and gives its end id; a null
-    source is a source of its own; repeated rows are packed each; an empty df gives no rows. Other
-    columns of df are ignored.
+    source is a source of its own; repeated rows are packed each; an empty df gives no rows. A very
+    long text is tokenised in stretches; its ids are held whole, two bytes each. Other columns of df
+    are ignored.
 
     Plan: one pass over the texts writes ids with each document's place among its source's tokens in
     its partition; sums per source and partition give the places overall; a second pass over the ids
@@ -157,6 +163,7 @@ def pack(
     places = sums.withColumn("queue", queue.cast("int")).withColumn("base", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_s", "_p", "queue", "base")
     placed = rows.join(written(places), F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs, queues, ats, ns, sources = (b.column(i).to_pylist() for i in range(5))
