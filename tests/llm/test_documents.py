@@ -169,10 +169,40 @@ def test_token_ids_equal_the_librarys_on_random_text(library):
     import random
 
     rng = random.Random(5)
-    table = tokens.Chunks(tokens.vocabulary_path(), limit=500)
-    for _ in range(3000):
-        text = "".join(rng.choice("abcdetTS'''vlr !?.,-_019éÉßöÖ÷×ŉſıΑσς\t\n\x0b\x85\xa0<|>") for _ in range(rng.randint(0, 40)))
-        assert list(np.frombuffer(table.ids(text), np.uint16)) == library.encode(text, add_special_tokens=False).ids, text
+    table = tokens.Chunks(tokens.vocabulary(tokens.vocabulary_path()), limit=3000)  # it begins again several times
+    texts = [None, "", "Σας ΟΔΟΣ ΌΣΟΣ", "H̱ ẖ É", "a\0 a \0", "“quoted” — it’s … €5 naïve café", "Привет world 日本語in Latin 한국"]
+    for _ in range(4000):
+        text = "".join(rng.choice("abcdetTS'''vlr !?.,-_019éÉßöÖ÷×ŉſıİΑσς日’“—́K\t\n\x0b\x00\x1c\x85\xa0<|>") for _ in range(rng.randint(0, 60)))
+        texts.append(text + rng.choice(["", "", "<|endoftext|>", " a<|startoftext|>b", "x" * 300, "schnell" * 9]))
+    import pyarrow as pa
+
+    for lo in range(0, len(texts), 500):
+        column = pa.array(texts[lo : lo + 500], pa.string())
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts[lo : lo + 500]]
+        assert [x.tolist() for x in table.ids(column)] == want
+        assert table.counts(column).tolist() == [len(w) for w in want]
+
+
+def test_only_chunks_with_odd_characters_go_to_the_library(monkeypatch):
+    import pyarrow as pa
+
+    table = tokens.Chunks(tokens.vocabulary(tokens.vocabulary_path()))
+    asked = []
+    real = table._left_over
+    monkeypatch.setattr(table, "_left_over", lambda chunk: asked.append(chunk.decode()) or real(chunk))
+    table.counts(pa.array(["A long English text “with one” word in Москва, and a café."]))
+    assert sorted(asked) == ["one”", "Москва,", "“with"]
+
+
+def test_a_very_long_text_comes_in_stretches(library, monkeypatch):
+    import pyarrow as pa
+
+    from tidewater.llm import lookup
+
+    monkeypatch.setattr(lookup.stretches, "__defaults__", (64,))
+    texts = ["don't stop at the edge of 1234 words " * 20, "", "x" * 500 + " y", None, "short"]
+    table = tokens.Chunks(tokens.vocabulary(tokens.vocabulary_path()))
+    assert [x.tolist() for x in table.ids(pa.array(texts))] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def check_packing(out, rows, library, weights=None):
@@ -300,16 +330,67 @@ def test_language_without_labels(docs):
 
 
 def test_forward_sums_all_segmentations():
-    lexicon = language.Lexicon([b" a", b"a", b"b", b"ab", b" ab"])
-    table = np.array([[0.1], [0.2], [0.3], [0.15], [0.25]])
-    # " ab": [ a][b] + [ ab]; " aab": [ a][a][b] + [ a][ab]
-    got = np.exp(language.word_scores(["ab", "aab"], lexicon, table))[:, 0]
-    assert got == pytest.approx([0.1 * 0.3 + 0.25, 0.1 * 0.2 * 0.3 + 0.1 * 0.15])
+    lexicon = language.Lexicon([b" a", b"a", b"b", b"ab", b" ab", b" "])
+    table = np.array([[0.1], [0.2], [0.3], [0.15], [0.25], [0.05]])
+    # " ab": [ a][b] + [ ab] + [ ][a][b] + [ ][ab]; " aab": [ a][a][b] + [ a][ab] + [ ][a][a][b] + [ ][a][ab]
+    got = np.exp(language.word_scores([b"ab", b"aab"], lexicon, table))[:, 0]
+    assert got == pytest.approx([0.1 * 0.3 + 0.25 + 0.05 * (0.06 + 0.15), 0.1 * 0.2 * 0.3 + 0.1 * 0.15 + 0.05 * (0.2 * 0.06 + 0.2 * 0.15)])
+
+
+def plain_forward(word, probs):
+    """One language's log-probability, by the plain recursion in logarithms."""
+    raw = b" " + word
+    sums = [0.0] + [-np.inf] * len(raw)
+    longest = max(map(len, probs))
+    for end in range(1, len(raw) + 1):
+        for begin in range(max(0, end - longest), end):
+            if (p := probs.get(raw[begin:end])) is not None:
+                sums[end] = np.logaddexp(sums[end], sums[begin] + np.log(p))
+    return sums[-1]
+
+
+def test_forward_on_whole_words_of_any_length():
+    vocabulary = language.pieces(language.model_path())
+    lexicon = language.Lexicon(vocabulary)
+    rng = np.random.default_rng(2)
+    table = rng.random((len(vocabulary), 2)) ** 8
+    table /= table.sum(axis=0)
+    words = [w.encode() for w in ("a", "schön", "donaudampfschifffahrtsgesellschaftskapitän", "日本語の文章には空白がありません" * 3, "ab" * 700)]
+    got = language.word_scores(words, lexicon, table)
+    for k in range(2):
+        probs = dict(zip(vocabulary, table[:, k], strict=True))
+        assert got[:, k] == pytest.approx([plain_forward(w, probs) for w in words], rel=1e-9)
+
+
+def test_prediction_equals_brute_force(docs, rows):
+    """Every text of the fixture, spaceless ones too, by one pass over all its words in plain Python."""
+    import re as regex
+
+    langs, prior, table, lexicon = language.fit(docs)
+    vocabulary = language.pieces(language.model_path())
+    probs = [dict(zip(vocabulary, table[:, k], strict=True)) for k in range(len(langs))]
+    known = {}
+
+    def score(word):
+        if word not in known:
+            known[word] = np.array([plain_forward(word.encode(), p) for p in probs])
+        return known[word]
+
+    few = [r for r in rows if r[0] is not None and (r[0] < 40 or 189 < r[0] < 198)]
+    got = {(r.doc_id, r.lang_pred): r.score for r in language.identify(docs).collect()}
+    for r in few:
+        words = [w for w in regex.findall(r"[^\W\d_]+", (r[1] or "").lower()) if any(map(str.isalpha, w))]
+        if not words:
+            assert got[(r[0], "und")] == 0
+            continue
+        logs = prior + sum(score(w) for w in words)
+        best = int(logs.argmax())
+        assert got[(r[0], langs[best])] == pytest.approx(1 / np.exp(logs - logs[best]).sum(), rel=1e-6)
 
 
 def test_training_raises_the_likelihood():
     lexicon = language.Lexicon(sorted({bytes([b]) for b in range(256)} | {b" the", b"th", b"er"}))
-    counts = {"the": np.array([9.0, 0.0]), "other": np.array([3.0, 1.0]), "une": np.array([0.0, 5.0])}
+    counts = {b"the": np.array([9.0, 0.0]), b"other": np.array([3.0, 1.0]), b"une": np.array([0.0, 5.0])}
     totals = []
     for rounds in (1, 2, 5):
         scores = language.word_scores(sorted(counts), lexicon, language.train(counts, lexicon, 2, rounds))
@@ -317,10 +398,31 @@ def test_training_raises_the_likelihood():
     assert totals[0] < totals[1] <= totals[2] + 1e-3  # every piece keeps a little, so the last rounds may stand still
 
 
+def test_accuracy_on_held_out_documents(spark):
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the generated tables")
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    out = language.identify(df).where("held_out and lang_pred <> 'und'").join(df.select("doc_id", "lang"), "doc_id").where("lang is not null")
+    for r in out.groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right"), F.count(F.lit(1)).alias("n")).collect():
+        print(r)
+        assert r.right >= 0.9
+
+
 def test_drop_unknown(docs, rows):
     out = language.drop_unknown(docs)
     assert out.columns == docs.columns
-    assert {190, 191, 192, 195}.isdisjoint({r.doc_id for r in out.collect()}) and out.count() == len(rows) - 5
+    kept = out.collect()
+    assert {190, 191, 192, 195}.isdisjoint({r.doc_id for r in kept}) and len(kept) == len(rows) - 5
+    given = {r[0]: r[2] for r in rows if r[2] is not None and r[0] != 3}
+    assert all(r.lang is not None for r in kept) and all(r.lang == given[r.doc_id] for r in kept if r.doc_id in given)
+
+
+def test_drop_unknown_without_labels_keeps_rows(docs, rows):
+    out = language.drop_unknown(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert len(out) == len(rows) - 5 and all(r.lang is None for r in out)
 
 
 # 9
