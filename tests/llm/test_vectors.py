@@ -19,14 +19,15 @@ def rows():
         out.append((i, (np.array(out[i % 11][1]) + rng.normal(size=6) * 0.3 * rng.random()).tolist()))
     out += [(i, out[5][1]) for i in range(260, 300)] + [(300, [2 * x for x in out[5][1]])]
     out += [(301, None), (302, []), (303, [0.0] * 6), (304, [None, 1.0, 1.0, 1.0, 1.0, 1.0]), (305, [float("nan")] * 6), (306, [float("inf"), 1.0, 1.0, 1.0, 1.0, 1.0]), (307, [1.0, 2.0]), (None, out[7][1]), (3, out[3][1])]
+    out += [(308, [1.0, 2.01]), (309, [2.0, 1.0]), (310, [5.0]), (311, [1e30, 2e30]), (312, [-3.0]), (313, [1e-30, 0.0, 0.0]), (314, [3e38, 0.0, 1e30])]
     return [(*r, 1, 5, "x") for r in out]
 
 
 def brute(rows):
-    good = [(i, np.array(v, dtype=np.float32).astype(np.float64)) for i, (_, v, *_) in enumerate(rows) if v and len(v) == 6 and None not in v and np.isfinite(v).all() and any(v)]
-    unit = np.array([v / np.linalg.norm(v) for _, v in good])
-    hit = unit @ unit.T >= 0.95
-    np.fill_diagonal(hit, False)
+    good = [(i, np.array(v, dtype=np.float32).astype(np.float64)) for i, (_, v, *_) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and any(v)]
+    good = [(i, v / np.abs(v).max()) for i, v in good]
+    unit = [v / np.linalg.norm(v) for _, v in good]
+    hit = np.array([[a is not b and len(a) == len(b) and a @ b >= 0.95 for b in unit] for a in unit])
     above = list(range(len(rows)))
 
     def top(x):
@@ -59,6 +60,32 @@ def test_empty_and_unusable(spark):
     assert sorted(map(tuple, got)) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
+def test_lengths_and_magnitudes_of_doubles(spark):
+    rows = [(1, [1e200, 1e-200]), (2, [1.0, 0.0]), (3, [1e-200, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [2.0, 0.0, 0.0]), (6, [5e-324, 0.0])] + [(i, [0.0, 1.0, float(i)]) for i in range(10, 14)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.vector_groups(df).collect()}
+    assert [got[i] for i in (1, 2, 3, 6)] == [(3, 1)] * 4 and got[4] == got[5] == (1, 4) and got[13] == (3, 10)
+
+
+def test_labels_against_plain_search():
+    rng = np.random.default_rng(9)
+    for n, m, share in ((1, 1, 1.0), (30, 20, 0.05), (700, 600, 0.002)):
+        hit = rng.random((n, m)) < share
+        rows, cols = vectors._labels(hit)
+        above = list(range(n + m))
+
+        def top(x):
+            while above[x] != x:
+                x = above[x]
+            return x
+
+        for x, y in zip(*np.nonzero(hit), strict=True):
+            a, b = top(x), top(n + y)
+            above[max(a, b)] = min(a, b)
+        assert rows.tolist() == [top(x) for x in range(n)]
+        assert all(c == top(n + y) for y, c in enumerate(cols) if hit[:, y].any())
+
+
 @pytest.mark.parametrize("few", [500_000, 0])
 def test_components(spark, few):
     rng = random.Random(3)
