@@ -22,9 +22,9 @@ _WORD = "[^\\x20\\x09-\\x0D]+"
 def sized(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Rows (row, doc_id, source, size, place): words, and a place in the shuffled source from key and seed."""
     rows = df.select(
-        F.col(key).cast("long").alias("doc_id"),
-        F.col(source).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long").alias("size"),
+        F.col(f"`{key}`").cast("long").alias("doc_id"),
+        F.col(f"`{source}`").cast("string").alias("source"),
+        F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(_WORD)), F.lit(0)).cast("long").alias("size"),
     )
     return rows.withColumn("place", F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
 
@@ -132,21 +132,26 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
 
 def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken), one per row of df.
+    """Rows (doc_id, size, source_size, target, taken, first_slot, n_slots), one per row of df.
 
-    Size is the number of words (null text: 0). Documents without words are never taken; a null
-    source is a source of its own; rows with equal keys stand side by side in the shuffle, by size.
-    No document is taken more than PASSES times. Other columns are ignored; an empty df gives no rows.
+    Size is the number of words (null text: 0). first_slot is the place in the mix where a document's
+    first words are taken, null if none are, and n_slots the number of slots that take some of its
+    words. Documents without words are never taken; a null source is a source of its own; rows with
+    equal keys stand side by side in the shuffle, by size. No document is taken more than PASSES
+    times. Other columns are ignored; an empty df gives no rows.
     """
     made = mix(df, key, text, source)
-    slots = made["slots"].select(F.col("number").alias("_n"), F.col("block").alias("_b"), "until")
+    slots = made["slots"].select(F.col("number").alias("_n"), F.col("block").alias("_b"), "until", "slot")
     taken = (
         made["pieces"].join(slots.hint("merge"), (F.col("number") == F.col("_n")) & (F.col("block") == F.col("_b")))
+        .withColumn("words", F.least(F.col("length"), F.col("until") - F.col("begin")))
+        .where("words > 0")
         .groupBy(F.col("number").alias("_n"), F.col("start").alias("_start"))
-        .agg(F.sum(F.greatest(F.lit(0), F.least(F.col("length"), F.col("until") - F.col("begin")))).cast("long").alias("taken"))
+        .agg(F.sum("words").cast("long").alias("taken"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("n_slots"))
     )
     rows = made["rows"].join(taken, (F.col("number") == F.col("_n")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    zero = F.lit(0).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), "first_slot", F.coalesce("n_slots", zero).alias("n_slots"))
 
 
 def drawn(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -192,11 +197,27 @@ f AS (
 t AS (
   SELECT source, source_size, least(cap::DOUBLE, coalesce(f.level * weight, cap::DOUBLE)) AS target
   FROM l LEFT JOIN f ON true),
+w AS (
+  SELECT *, least(CAST(round(target) AS BIGINT), 2 * source_size) AS words, row_number() OVER (ORDER BY source NULLS LAST) AS number,
+         greatest(1024, CAST(ceil(sum(target) OVER () / 1048576) AS BIGINT)) AS b FROM t),
+x AS (SELECT *, least(words, source_size) AS one, words - least(words, source_size) AS two FROM w),
+y AS (SELECT *, (one + b - 1) // b AS ones, (one + b - 1) // b + (two + b - 1) // b AS slots FROM x),
+z AS (SELECT *, CAST(sum(slots) OVER (ORDER BY number) AS BIGINT) AS upto, CAST(sum(slots) OVER () AS BIGINT) AS steps FROM y),
+-- Golden-ratio points through the cumulative shares: the k-th point that falls to a source takes its k-th stretch.
+g AS (SELECT i AS slot, (i * 2654435769 % 4294967296) * steps // 4294967296 AS spot FROM (SELECT max(steps) AS steps FROM z), range(3 * steps + 8) r(i)),
+h AS (SELECT slot, z.*, row_number() OVER (PARTITION BY number ORDER BY slot) - 1 AS k FROM g JOIN z ON spot >= upto - slots AND spot < upto),
+s2 AS (
+  SELECT slot, number, b, CASE WHEN k < ones THEN k ELSE k - ones END AS block, CASE WHEN k < ones THEN one ELSE two END AS reach FROM h WHERE k < slots),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, least(CAST(round(t.target) AS BIGINT), 2 * t.source_size) AS words,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(greatest(0, least(size, words - start)) + greatest(0, least(size, words - source_size - start)) AS BIGINT) AS taken
-FROM p
+  SELECT d.doc_id, d.size, z.source_size, z.target, z.number, z.b,
+         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+         row_number() OVER () AS rid
+  FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source),
+e AS (SELECT rid, number, start, size, b, unnest(range(start // b, (start + size - 1) // b + 1)) AS block FROM p WHERE size > 0),
+m AS (
+  SELECT rid, slot, least(least(start + size, (e.block + 1) * e.b), least(reach, (e.block + 1) * e.b)) - greatest(start, e.block * e.b) AS words
+  FROM e JOIN s2 ON e.number = s2.number AND e.block = s2.block),
+n AS (SELECT rid, CAST(sum(words) AS BIGINT) AS taken, min(slot) AS first_slot, count(*) AS n_slots FROM m WHERE words > 0 GROUP BY rid)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, coalesce(taken, 0) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots
+FROM p LEFT JOIN n USING (rid)
 """
