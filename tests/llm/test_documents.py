@@ -68,6 +68,35 @@ def test_license_notices_survive_small_changes(spark):
     assert (got[6].n_base, got[6].first_word) == (1, 2)
 
 
+def test_licenses_of_any_length_and_grams(spark):
+    import random
+
+    rng = random.Random(3)
+    whole = max((t for label, t in licenses.NOTICES if label == "mit"), key=len).split()
+    own = [f"w{i}" for i in range(230)]
+    changed = [w if rng.random() > 0.03 else "changed" for w in whole]
+    mixed = whole[:]
+    rng.shuffle(mixed)
+    texts = {
+        1: " ".join(["start", *own, "end"]),
+        2: " ".join(own[:100] + own[130:]),
+        3: " ".join(["pre", *changed, "post"]),
+        4: " ".join(mixed),
+        5: "// SPDX-License-Identifier: Apache-2.0",
+        6: "Creative Commons Attribution-ShareAlike 4.0 International; Creative Commons, Attribution 4.0",
+        7: " ".join(own[150:] + own[:150]),
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    notices = [*licenses.NOTICES, ("own", " ".join(own))]
+    for k in (2, 3, 5):
+        got = {r.doc_id: r for r in licenses.scan(df, notices=notices, k=k).collect()}
+        assert (got[1].labels, got[1].score, got[1].n_spans) == ("own", 1.0, 1)
+        assert got[2].labels == "" and got[4].labels == "" and got[7].labels == ""  # a gap, no order, parts exchanged
+        assert got[5].labels == "apache-2.0" and "cc-by-4.0" in got[6].labels and "cc-by-sa-4.0" in got[6].labels
+        if k < 5:
+            assert got[3].labels == "mit"
+
+
 # 2
 
 def test_exact_groups(docs, rows):
@@ -85,10 +114,30 @@ def test_exact_groups(docs, rows):
     assert len(kept) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
 
 
+@pytest.mark.parametrize("bytes_of_hash", [0, 1, 32])
+def test_exact_groups_do_not_rest_on_fingerprints(docs, rows, monkeypatch, bytes_of_hash):
+    """Texts whose fingerprints collide, some of them over borders of partitions, are told apart by comparing them."""
+    monkeypatch.setattr(exact, "LEAD", 1)
+    monkeypatch.setattr(exact, "_fingerprint", lambda body: F.substring(F.unhex(F.sha2(body, 256)), 1, bytes_of_hash))
+    groups = Counter(re.sub(r"[\x20\x09-\x0D]", "", r[1] or "") for r in rows)
+    best = defaultdict(list)
+    for r in rows:
+        best[re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")].append((-len(r[1] or ""), r[0] is None, r[0] or 0, r[0]))
+    want = Counter((r[0], min(best[t])[3], groups[t]) for r in rows for t in [re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")])
+    out = exact.exact_groups(docs).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in out) == want and sum(r.kept for r in out) == len(groups)
+    assert exact.drop_exact(docs).count() == len(groups)
+
+
 def test_drop_exact_keeps_rows_and_columns(docs, rows):
     out = exact.drop_exact(docs)
     assert out.columns == docs.columns
-    assert len(out.collect()) == len({re.sub(r"[\x20\x09-\x0D]", "", r[1] or "") for r in rows})
+    best = {}
+    for r in rows:
+        t = re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")
+        best[t] = min(best.get(t, (1,)), (-len(r[1] or ""), r[0] is None, r[0] or 0))
+    got = Counter((-len(r.text or ""), r.doc_id is None, r.doc_id or 0) for r in out.collect())
+    assert got == Counter(best.values())
 
 
 def test_a_hot_text_spreads_over_partitions(spark):
@@ -289,6 +338,34 @@ def test_mixing_takes_its_targets(docs, rows):
     assert Counter(map(tuple, out)) == Counter(map(tuple, mixing.mixed_rows(docs.repartition(2)).collect()))
 
 
+def test_first_slots_follow_the_golden_ratio(docs):
+    """The schedule run through in plain Python, slot by slot."""
+    made = mixing.mix(docs)
+    plan = sorted((r.asDict() for r in made["plan"].collect()), key=lambda r: r["number"])
+    steps = sum(r["slots"] for r in plan)
+    given, order = Counter(), []
+    for i in range(3 * steps + 8):
+        spot = (i * mixing.GOLDEN % (1 << 32)) * steps >> 32
+        p = next(r for r in plan if r["from_slot"] <= spot < r["to_slot"])
+        if given[p["number"]] < p["slots"]:
+            order.append((i, p["number"], given[p["number"]]))
+            given[p["number"]] += 1
+    assert [(r.slot, r.number, r.rank) for r in made["slots"].orderBy("slot").collect()] == order
+    first = {}
+    block = {r["number"]: (r["block_words"], r["first_slots"], r["first_pass"], r["second_pass"]) for r in plan}
+    for i, number, k in order:
+        size, ones, one, two = block[number]
+        b, reach = (k, one) if k < ones else (k - ones, two)
+        first.setdefault(number, []).append((i, b * size, min(reach, (b + 1) * size)))
+    want = Counter()
+    for r in made["rows"].collect():
+        cuts = [(i, min(hi, r.start + r["size"]) - max(lo, r.start)) for i, lo, hi in first.get(r.number, [])]
+        hit = [(i, n) for i, n in cuts if n > 0]
+        want[(r.doc_id, r["size"], sum(n for _, n in hit), min((i for i, _ in hit), default=None), len(hit))] += 1
+    out = mixing.mixed_rows(docs).collect()
+    assert Counter((r.doc_id, r["size"], r.taken, r.first_slot, r.n_slots) for r in out) == want
+
+
 def test_schedule_spreads_every_source(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 40).alias("text"), F.when(F.col("id") % 10 < 7, "a").when(F.col("id") % 10 < 9, "b").otherwise("c").alias("source"))
     made = mixing.mix(df)
