@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import importable, partitions
+from tidewater.llm.common import importable, partitions, tidy
 from tidewater.llm.templates import Mark, compiled, unescape
 
 #: Turns stand between <turn role> and </turn>; the assistant's texts are under the loss mask.
@@ -42,6 +42,7 @@ def format_conversations(df: DataFrame, template: str = TEMPLATE, conv: str = "c
     importable(df.sparkSession)
     render = compiled(template)  # fails here, on the driver, if the template is wrong
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compiled(template)
         rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True))
@@ -84,10 +85,10 @@ def format_conversations(df: DataFrame, template: str = TEMPLATE, conv: str = "c
             yield batch()
 
     rows = df.select(
-        F.col(conv).cast("long").alias("conv_id"),
-        F.col(turn).cast("long").alias("turn"),
-        F.coalesce(F.col(role), F.lit("")).alias("role"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.col(f"`{conv}`").cast("long").alias("conv_id"),
+        F.col(f"`{turn}`").cast("long").alias("turn"),
+        F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"),
+        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
     )
     dealt = rows.repartition(partitions(df.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.mapInArrow(run, _SHAPE)
@@ -102,6 +103,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     between.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True))
         out: list[tuple] = []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import components, importable, neutral, numbered, partitions, written
+from tidewater.llm.common import components, importable, neutral, numbered, partitions, tidy, written
 from tidewater.llm.shingles import WORDS, set_id, shingle_sets
 
 #: Links need 100 * intersection >= PERCENT * union.
@@ -79,6 +79,7 @@ def frequent_shingles(texts: DataFrame, words: int = WORDS, listed: int = LISTED
     """
     ranges = 4 * partitions(texts.sparkSession)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -106,6 +107,7 @@ def frequent_shingles(texts: DataFrame, words: int = WORDS, listed: int = LISTED
         if held:
             yield flush()
 
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for payloads in _ranges(batches):
             parts = [_unpacked(x, _COUNT) for x in payloads]
@@ -140,6 +142,7 @@ def frequent_shingles(texts: DataFrame, words: int = WORDS, listed: int = LISTED
 def _prefixes(often, ranges: int, words: int):
     """Of each document its row and the postings of its prefix; see the module's head."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, grades, mean = often.value
         hubs: dict[int, int] = {}
@@ -228,6 +231,7 @@ def _prefixes(often, ranges: int, words: int):
     return run
 
 
+@tidy
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of a range of shingles: (a, b, hits, needed), needed 0 for chained ones."""
     for payloads in _ranges(batches):
@@ -306,6 +310,7 @@ def links_within(sets: list[np.ndarray], cut: int | None = None) -> np.ndarray:
     return np.stack([x, y], axis=1)[(x < y) & (y >= rows.stop if cut is not None else True)]
 
 
+@tidy
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of the links in each pair of blocks, from rows (grp, i, j, node, side, body) sorted by key and side."""
 
@@ -349,7 +354,7 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
     importable(spark)
     parts = partitions(spark)
     ranges = 4 * parts
-    texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     often = spark.sparkContext.broadcast(frequent_shingles(texts.select("text"), words))
     shown = written(texts.mapInArrow(_prefixes(often, ranges, words), "kind int, doc_id long, n long, node long, range int, payload binary"))
     docs = shown.where("kind = 0").select("doc_id", "n", "node")
@@ -375,6 +380,7 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
     aims = sides.groupBy("grp", "block").agg(F.collect_list("t").alias("aims"))
     wanted = written(members.join(aims, ["grp", "block"]).select("doc_id", "node", "grp", "aims"))
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = list(shingle_sets(b.column(3), words))

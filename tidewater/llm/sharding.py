@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import importable, numbered
+from tidewater.llm.common import importable, numbered, tidy
 
 SHARDS = 16
 
@@ -42,14 +42,15 @@ def shard(df: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str =
     gives no rows.
     """
     importable(df.sparkSession)
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     narrow = df.select(
-        F.col(key).cast("long").alias("doc_id"),
+        F.col(f"`{key}`").cast("long").alias("doc_id"),
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(body.cast("binary")).cast("long").alias("text_crc32"),
-        F.xxhash64(F.col(key).cast("long")).alias("hash"),
+        F.xxhash64(F.col(f"`{key}`").cast("long")).alias("hash"),
     )
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
