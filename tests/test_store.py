@@ -114,3 +114,45 @@ def test_models(spark, store):
     store.write(frame(spark, [(1, "a"), (2, "a"), (3, "b")]), "s", "t")
     assert [b.name for b in models.refresh("t")] == ["b", "c"]
     assert [tuple(r) for r in store.read("s", "c").collect()] == [("a", 2)]
+
+
+def test_a_commit_in_between_is_not_lost(spark, store, monkeypatch):
+    df = frame(spark, [(1, "a")])
+    store.write(df, "s", "t")
+    real = store._add
+
+    def late(rows, source, table, by):
+        monkeypatch.setattr(store, "_add", real)
+        store.ingest(frame(spark, [(9, "other writer")]), "s", "t")
+        return real(rows, source, table, by)
+
+    for change in (
+        lambda: store.replace(frame(spark, [(2, "b")]), "s", "t", expected_version=store.manifest("s", "t").version),
+        lambda: store.merge(frame(spark, [(1, "B")]), "s", "t", ["id"]),
+        lambda: store.ingest(frame(spark, [(3, "c")]), "s", "t"),
+    ):
+        before = store.manifest("s", "t").version
+        monkeypatch.setattr(store, "_add", late)
+        with pytest.raises(st.VersionConflict):
+            change()
+        assert store.manifest("s", "t").version == before + 1
+    assert sorted(map(tuple, store.read("s", "t").collect())) == [(1, "a"), (9, "other writer"), (9, "other writer"), (9, "other writer")]
+
+
+def test_csv_rows_that_misfit_fail(spark, tmp_path):
+    (tmp_path / "late.csv").write_text("a,b\n" + "".join(f"{i},x\n" for i in range(1500)) + "abc,x\n")
+    df = st.load_csv(spark, str(tmp_path / "late.csv"))
+    assert df.dtypes[0] == ("a", "int")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        df.agg(F.sum("a")).collect()
+
+
+def test_compact_deals_a_large_partition_out(spark, store):
+    rows = [(i, "hot" if i % 10 else "cold") for i in range(300)]
+    for part in (rows[:150], rows[150:]):
+        store.ingest(frame(spark, part), "s", "t", partition_by=["v"])
+    assert store.compact("s", "t", rows_per_file=100) == 2
+    out = store.read("s", "t")
+    assert sorted(map(tuple, out.collect())) == sorted(rows)
+    files = out.withColumn("file", F.input_file_name()).groupBy("v").agg(F.count_distinct("file").alias("n"))
+    assert {r.v: r.n for r in files.collect()}["hot"] > 1

@@ -117,3 +117,56 @@ SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host,
             ELSE regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) END AS clean,
        regexp_extract(url, '[?&]utm_source=([^&#]*)', 1) AS utm_source
 FROM pages"""
+
+
+#: Pages, referrers and agents that visits are given by their ids, so that every dimension has values.
+_URLS = ["https://shop.example/", "https://shop.example:8443/cart?utm_source=news&utm_medium=mail", "http://shop.example/a%20b?utm_source=ad%26co&x=1#top", "https://shop.example/item/7?utm_campaign=spring", "not a url"]
+_REFERRERS = ["", "https://www.google.com/search?q=x", "https://news.ycombinator.com/item", "https://shop.example/", "https://netflix.com/", "https://old.reddit.com/r/x"]
+_AGENTS = [
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36",
+    "Mozilla/5.0 (iPhone; CPU iPhone OS 17_2 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.2 Mobile/15E148 Safari/604.1",
+    "Mozilla/5.0 (X11; Linux x86_64; rv:121.0) Gecko/20100101 Firefox/121.0",
+]
+
+
+def raw_events(events: DataFrame) -> DataFrame:
+    """The synthetic events as an intake would get them."""
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % by % len(values) + 1).cast("int"))
+    return events.select(
+        F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"), F.lit("site").alias("source"), F.lit(None).cast("string").alias("visitor_id"),
+        F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("event_name"), pick(_URLS, 1000).alias("url"), pick(_REFERRERS, 997).alias("referrer"), pick(_AGENTS, 991).alias("user_agent"),
+        F.concat(F.lit("10.0.0."), F.col("user_id") % 200).alias("ip"), (F.col("event_id") % 1500).cast("int").alias("screen_width"), F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("properties"),
+    )
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v + "'" for v in values) + "]"
+
+
+#: What each of the raw values comes to.
+_SHOWN = {
+    "pathname": ("1000", ["/", "/cart", "/a%20b", "/item/7", "not a url"]),
+    "utm_source": ("1000", ["", "news", "ad&co", "", ""]),
+    "utm_medium": ("1000", ["", "mail", "", "", ""]),
+    "utm_campaign": ("1000", ["", "", "", "spring", ""]),
+    "referrer_source": ("997", ["Direct", "Google", "Hacker News", "Direct", "netflix.com", "Reddit"]),
+    "browser": ("991", ["Chrome", "Mobile Safari", "Firefox"]),
+    "os": ("991", ["Windows", "iOS", "Linux"]),
+}
+
+
+def _dimension(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tidewater.streaming.events import enriched
+
+        return E.breakdown(enriched(raw_events(spark.read.parquet(f"{sf_dir}/events.parquet"))).withColumn("visitor_id", F.col("user_id")), name)
+
+    return run
+
+
+for _name, (_by, _values) in _SHOWN.items():
+    Q[f"events_breakdown_{_name}"] = _dimension(_name)
+    _case = f"{_list(_values)}[event_id % {_by} % {len(_values)} + 1]"
+    if _name == "referrer_source":  # the own host is direct only where the page has one
+        _case = f"CASE WHEN event_id % 1000 % 5 = 4 AND event_id % 997 % 6 = 3 THEN 'shop.example' ELSE {_case} END"
+    S[f"events_breakdown_{_name}"] = f"SELECT {_case} AS name, count(DISTINCT user_id) AS visitors, count(*) AS pageviews FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"

@@ -221,10 +221,25 @@ def _autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q["insight_seasonality"] = _autocorrelation
 Q["insight_schema"] = lambda spark, sf_dir: spark.createDataFrame(sorted(I.detect_schema(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).items()), "column string, role string")
-Q["insight_profile"] = lambda spark, sf_dir: I.profile(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment"))
-S["insight_profile"] = """
-SELECT 'c_custkey' AS "column", 'bigint' AS type, count(DISTINCT c_custkey) AS "distinct", 0.0::DOUBLE AS null_share, CAST(min(c_custkey) AS VARCHAR) AS min, CAST(max(c_custkey) AS VARCHAR) AS max FROM customer
-UNION ALL SELECT 'c_name', 'string', count(DISTINCT c_name), 0.0, NULL, NULL FROM customer UNION ALL SELECT 'c_mktsegment', 'string', count(DISTINCT c_mktsegment), 0.0, NULL, NULL FROM customer"""
+Q["insight_profile"] = lambda spark, sf_dir: I.profile(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment"), order="c_custkey").withColumn("samples", F.array_join("samples", ","))
+S["insight_profile"] = """WITH f AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 1000),
+s AS (SELECT (SELECT string_agg(v, ',' ORDER BY c) FROM (SELECT c_mktsegment AS v, min(c_custkey) AS c FROM f GROUP BY 1 ORDER BY 2 LIMIT 5)) AS m,
+      (SELECT string_agg(c_name, ',' ORDER BY c_custkey) FROM (SELECT * FROM f ORDER BY c_custkey LIMIT 5)) AS n, (SELECT string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) FROM (SELECT * FROM f ORDER BY c_custkey LIMIT 5)) AS k)
+SELECT 'c_custkey' AS "column", 'bigint' AS type, count(DISTINCT c_custkey) AS "distinct", 0.0::DOUBLE AS null_share, CAST(min(c_custkey) AS VARCHAR) AS min, CAST(max(c_custkey) AS VARCHAR) AS max, any_value(k) AS samples FROM customer, s
+UNION ALL SELECT 'c_name', 'string', count(DISTINCT c_name), 0.0, NULL, NULL, any_value(n) FROM customer, s UNION ALL SELECT 'c_mktsegment', 'string', count(DISTINCT c_mktsegment), 0.0, NULL, NULL, any_value(m) FROM customer, s"""
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that came and went between two quarters."""
+    base = I.prepared(spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("part", F.col("l_partkey").cast("string")), "l_shipdate", ["part"], ["l_quantity"], "quarter")
+    return I.membership(base, ["part"], "1995-Q2", "1995-Q1").select("dimension", "added", "removed", "previous_size", "current_size", F.array_join(F.slice("added_values", 1, 3), ",").alias("first_added"))
+
+
+Q["insight_membership_parts"] = _parts
+S["insight_membership_parts"] = """WITH b AS (SELECT CAST(l_partkey AS VARCHAR) AS value, bool_or(l_shipdate >= DATE '1995-04-01') AS now, bool_or(l_shipdate < DATE '1995-04-01') AS past
+  FROM lineitem WHERE l_shipdate >= DATE '1995-01-01' AND l_shipdate < DATE '1995-07-01' GROUP BY 1)
+SELECT 'part' AS dimension, count(*) FILTER (now AND NOT past) AS added, count(*) FILTER (past AND NOT now) AS removed, count(*) FILTER (past) AS previous_size, count(*) FILTER (now) AS current_size,
+       array_to_string(list_sort(list(value) FILTER (now AND NOT past))[:3], ',') AS first_added FROM b"""
 
 
 def _report(which: str):

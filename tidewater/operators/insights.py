@@ -467,9 +467,12 @@ def detect_schema(df: DataFrame) -> dict[str, str]:
     return roles
 
 
-def profile(df: DataFrame, samples: int = 5, most: int = 60) -> DataFrame:
-    """Rows (column, type, distinct, null_share, min, max, samples) of the first columns; one pass."""
-    made = []
+def profile(df: DataFrame, samples: int = 5, most: int = 60, order: str | None = None, head: int = 1000) -> DataFrame:
+    """Rows (column, type, distinct, null_share, min, max, samples) of the first columns; one pass.
+
+    Samples are the first distinct values, as text, of the first `head` rows, by an order if one is named.
+    """
+    made, first = [], []
     for f in df.schema.fields[:most]:
         c = F.col(f"`{f.name}`")
         bounded = isinstance(f.dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
@@ -479,7 +482,9 @@ def profile(df: DataFrame, samples: int = 5, most: int = 60) -> DataFrame:
             F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.count_distinct(flat).alias("distinct"),
             F.coalesce(F.try_divide(F.count(F.when(c.isNull(), 1)), F.count(F.lit(1))), F.lit(0.0)).alias("null_share"), low.alias("min"), high.alias("max"),
         ))
-    return df.agg(F.array(*made).alias("p")).select(F.inline("p"))
+        first.append(F.struct(F.lit(f.name).alias("column"), F.slice(F.array_distinct(F.collect_list(flat.cast("string"))), 1, samples).alias("samples")))
+    top = (df.orderBy(order) if order else df).limit(head).coalesce(1).agg(F.array(*first).alias("p")).select(F.inline("p"))
+    return df.agg(F.array(*made).alias("p")).select(F.inline("p")).join(F.broadcast(top), "column")  # a row for each column
 
 
 def evenly(df: DataFrame, order: str, n: int) -> DataFrame:

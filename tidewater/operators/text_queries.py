@@ -51,8 +51,8 @@ n AS (SELECT *, sum(y) OVER () AS n, sum(df) OVER () AS a, 500.0::DOUBLE * df /
 SELECT term, y AS count, round((ln((y + p) / (n + 500 - y - p)) - ln((df - y + p) / (a - n + 500 - (df - y) - p))) / sqrt(1 / (y + p) + 1 / (df - y + p)), 6) AS z FROM n WHERE y > 0"""
 Q["text_distinctive_terms"] = lambda spark, sf_dir: X.distinctive_terms(*_subset(spark, sf_dir), ["license"]).select("term", "count")
 S["text_distinctive_terms"] = S["text_log_odds"].replace("SELECT term, y AS count, round(", "SELECT term, count FROM (SELECT term, y AS count, (").replace(", 6) AS z FROM n WHERE y > 0", ") AS z FROM n WHERE y >= 3) WHERE z > 1.96 ORDER BY z DESC, term LIMIT 30")
-Q["text_extremes"] = lambda spark, sf_dir: X.within_extremes(X.doc_freq(_index(spark, sf_dir)), 1000, 0.05, 0.5).select("term", "df")
-S["text_extremes"] = f"WITH {_WORDS} SELECT term, df FROM f WHERE df BETWEEN 50 AND 500"
+Q["text_extremes"] = lambda spark, sf_dir: X.within_extremes(X.doc_freq(_index(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/documents.parquet").count(), 0.05, 0.5).select("term", "df")
+S["text_extremes"] = f"WITH {_WORDS} SELECT term, df FROM f WHERE df >= ceil(0.05 * (SELECT count(*) FROM documents)) AND df <= floor(0.5 * (SELECT count(*) FROM documents))"
 Q["text_language"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", X.language(F.col("text")).alias("language"))
 
 

@@ -100,14 +100,28 @@ class Store:
         return Manifest(**json.loads(self._read(f"{at}/{max(versions):012d}.json"))) if versions else None
 
     def _commit(self, source: str, table: str, new: Manifest) -> Manifest:
-        """Fails if another writer took the version: a file is made only where there is none."""
-        path = self._path(f"{self._folder(source, table)}/_manifest/{new.version:012d}.json")
-        try:
-            out = self._fs.create(path, False)
-        except Exception as e:
-            raise VersionConflict(f"version {new.version} of {source}/{table} is there already") from e
+        """Fails if another writer took the version.
+
+        The manifest is written under another name and renamed without overwriting, so no reader sees half of one.
+        """
+        folder = f"{self._folder(source, table)}/_manifest"
+        path, draft = self._path(f"{folder}/{new.version:012d}.json"), self._path(f"{folder}/_{uuid.uuid4().hex}")
+        conflict = VersionConflict(f"version {new.version} of {source}/{table} is there already")
+        if self._fs.exists(path):
+            raise conflict
+        out = self._fs.create(draft, False)
         out.write(bytearray(json.dumps(vars(new)).encode()))
         out.close()
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        whole = self._fs.makeQualified(draft)
+        none = self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+        try:
+            fs.FileContext.getFileContext(whole.toUri(), self.spark._jsc.hadoopConfiguration()).rename(whole, self._fs.makeQualified(path), none)
+        except Exception as e:
+            self._fs.delete(draft, False)
+            if self._fs.exists(path):
+                raise conflict from e
+            raise
         return new
 
     def _add(self, df: DataFrame, source: str, table: str, partition_by: list[str]) -> str:
@@ -124,9 +138,9 @@ class Store:
         names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
         return sorted(t for t in names if self.manifest(source, t))
 
-    def read(self, source: str, table: str) -> DataFrame | None:
-        """All rows of the newest version, columns united by name; None where there is no table."""
-        now = self.manifest(source, table)
+    def read(self, source: str, table: str, at: Manifest | None = None) -> DataFrame | None:
+        """All rows of the newest version, or of a given one, columns united by name; None where there is no table."""
+        now = at or self.manifest(source, table)
         if now is None:
             return None
         schema = T.StructType.fromJson(json.loads(now.schema))
@@ -163,11 +177,19 @@ class Store:
             fields.setdefault(f.name, T.StructField(f.name, f.dataType, True))
         return Manifest((keep.version if keep else 0) + 1, folders, partition_by, T.StructType(list(fields.values())).json())
 
-    def ingest(self, df: DataFrame, source: str, table: str, mode: str = "append", partition_by: list[str] | None = None) -> Manifest | None:
-        """Appends, overwrites, fails or does nothing where the table exists; an empty input is dropped, except by overwrite."""
+    def ingest(
+        self, df: DataFrame, source: str, table: str, mode: str = "append", partition_by: list[str] | None = None, expected_version: int | None = None
+    ) -> Manifest | None:
+        """Appends, overwrites, fails or does nothing where the table exists; an empty input is dropped, except by overwrite.
+
+        With an expected version (0: no table) it fails unless it follows that one, whoever commits in between.
+        """
         if mode not in MODES:
             raise ValueError(f"unknown mode '{mode}'")
         now = self.manifest(source, table)
+        there = now.version if now else 0
+        if expected_version is not None and there != expected_version:
+            raise VersionConflict(f"{source}/{table} is at version {there}, not {expected_version}")
         if now and mode == "errorifexists":
             raise TableExists(f"{source}/{table}")
         if (now and mode == "ignore") or (mode != "overwrite" and df.isEmpty()):
@@ -175,39 +197,49 @@ class Store:
         by = partition_by if partition_by is not None else (now.partition_by if now else [])
         old = now.folders if now and mode == "append" else []
         version = self._next(source, table, df, [*old, self._add(df, source, table, by)], by, now if mode == "append" else None)
-        version.version = (now.version if now else 0) + 1
+        version.version = there + 1
         return self._commit(source, table, version)
 
-    def write(self, df: DataFrame, source: str, table: str, partition_by: list[str] | None = None) -> Manifest:
+    def write(self, df: DataFrame, source: str, table: str, partition_by: list[str] | None = None, expected_version: int | None = None) -> Manifest:
         """Creates or replaces; a frame without rows still makes a table with its columns."""
-        return self.ingest(df, source, table, "overwrite", partition_by)
+        return self.ingest(df, source, table, "overwrite", partition_by, expected_version)
 
     def replace(self, df: DataFrame, source: str, table: str, expected_version: int | None = None) -> Manifest:
-        """Swaps all rows, if the table is still at the expected version."""
-        now = self.manifest(source, table)
-        if expected_version is not None and (now.version if now else 0) != expected_version:
-            raise VersionConflict(f"{source}/{table} is at version {now.version if now else 0}, not {expected_version}")
-        return self.write(df, source, table, now.partition_by if now else None)
+        """Swaps all rows, if the table is still at the expected version when they are committed."""
+        return self.write(df, source, table, None, expected_version)
 
     def merge(self, df: DataFrame, source: str, table: str, keys: list[str]) -> dict[str, int]:
-        """Upsert: {rows_updated, rows_inserted}. Every row of df is kept, duplicate keys too."""
-        now = self.read(source, table)
-        if now is None:
+        """Upsert: {rows_updated, rows_inserted}. Every row of df is kept, duplicate keys too.
+
+        Fails if the table moved on from the version that was read.
+        """
+        at = self.manifest(source, table)
+        if at is None:
             n = df.count()
-            self.write(df, source, table)
+            self.write(df, source, table, None, 0)
             return {"rows_updated": 0, "rows_inserted": n}
+        now = self.read(source, table, at)
         counts = merge_counts(now, df, keys)
-        self.write(merged(now, df, keys), source, table, self.manifest(source, table).partition_by)
+        self.write(merged(now, df, keys), source, table, at.partition_by, at.version)
         return counts
 
     def compact(self, source: str, table: str, rows_per_file: int = 5_000_000) -> int:
-        """Rewrites the table's folders as one, with few files a partition; the number of folders that went, 0 if there was one."""
+        """Rewrites the table's folders as one, with files of about so many rows; the number of folders that went, 0 if there was one.
+
+        A partition of more rows than a file should have is dealt out over as many tasks as it needs files.
+        """
         now = self.manifest(source, table)
         if now is None or len(now.folders) < 2:
             return 0
-        df = self.read(source, table)
+        df = self.read(source, table, now)
         if now.partition_by:
-            df = df.repartition(*[F.col(c) for c in now.partition_by])
+            by = [F.col(f"`{c}`") for c in now.partition_by]
+            sizes = df.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows_per_file)).cast("int").alias("_files"))
+            names = {c: f"_p{i}" for i, c in enumerate(now.partition_by)}
+            sizes = sizes.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], "_files")
+            same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(n)) for c, n in names.items()])
+            salted = df.join(sizes, same, "left").withColumn("_salt", F.floor(F.rand(7) * F.col("_files")))
+            df = salted.repartition(*by, F.col("_salt")).drop("_salt", "_files", *names.values())
         else:
             df = df.coalesce(max(1, -(-df.count() // rows_per_file)))
         self._commit(source, table, self._next(source, table, df, [self._add(df, source, table, now.partition_by)], now.partition_by, now))
@@ -255,12 +287,10 @@ def file_stats(df: DataFrame) -> DataFrame:
 
 
 def load_csv(spark: SparkSession, path: str, sample: int = 1000) -> DataFrame:
-    """A CSV file with a header; types are inferred from the first rows, later ones that don't fit are null."""
-    head = spark.read.option("header", True).csv(path).limit(sample)
-    lines = head.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in head.columns])).alias("value"))
-    kinds = spark.read.option("inferSchema", True).csv(lines.rdd.map(lambda r: r[0])).dtypes if not head.isEmpty() else []
-    schema = T.StructType([T.StructField(c, T._parse_datatype_string(k), True) for c, (_, k) in zip(head.columns, kinds, strict=True)]) if kinds else head.schema
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
+    """A CSV file with a header; types are inferred from the first rows, and a later one that doesn't fit fails when it is read."""
+    lines = getattr(spark.read.text(path).limit(sample + 1)._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    head = DataFrame(spark.read.option("header", True).option("inferSchema", True)._jreader.csv(lines), spark)
+    return spark.read.option("header", True).option("mode", "FAILFAST").schema(head.schema).csv(path)
 
 
 def upload_csv(store: Store, path: str, source: str, sample: int = 10_000) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import models as M
 from tidewater.operators import semantics as Z
+from tidewater.operators.event_queries import raw_events
 from tidewater.plans import ops
 from tidewater.sources.queries import _store
 from tidewater.streaming import events as V
@@ -36,6 +37,27 @@ a AS (SELECT *, sum(CASE WHEN since IS NULL OR since >= 1800000000 THEN 1 ELSE 0
 SELECT CAST(user_id AS VARCHAR) AS who, count(*) AS events, min(ts) AS started, max(ts) AS ended FROM a GROUP BY user_id, s"""
 
 
+def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events through the intake stream into files by their own date, read back; then again, which must add nothing."""
+    store = _store(spark)
+    files, out, at = f"{store.root}/raw", f"{store.root}/events", f"{store.root}/at"
+    raw_events(spark.read.parquet(f"{sf_dir}/events.parquet")).write.parquet(files)
+    for _ in range(2):
+        stream = spark.readStream.schema(V.RAW).parquet(files)
+        V.write_partitioned(V.enriched(stream, "salt").drop("timestamp"), out, at, {"availableNow": True}).awaitTermination()
+    back = spark.read.parquet(out).withColumn("date", F.col("date").cast("string"))
+    return back.groupBy("date", "device_type", "screen_size").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("visitor_id").alias("visitors"), F.count(F.when(F.col("properties") == "{}", 1)).alias("bare"),
+        F.min(F.length("visitor_id")).alias("id_length"),
+    )
+
+
+Q["stream_intake"] = stream_intake
+S["stream_intake"] = """WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS date, event_id % 1500 AS w, event_id % 991 % 3 AS agent FROM events)
+SELECT date, CASE WHEN w <= 575 THEN 'Mobile' WHEN agent = 1 THEN 'Tablet' ELSE 'Desktop' END AS device_type, CASE WHEN w <= 575 THEN 'Small' WHEN w <= 991 THEN 'Medium' ELSE 'Large' END AS screen_size,
+       count(*) AS n, count(DISTINCT event_id) AS ids, count(DISTINCT (user_id % 200, agent)) AS visitors, count(*) FILTER (event_id % 2 = 1 OR props = '{}') AS bare, 16 AS id_length FROM e GROUP BY 1, 2, 3"""
+
+
 def model_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders to monthly sums to yearly maxima, built again in order after the input changed."""
     store = _store(spark)
