@@ -9,8 +9,10 @@ asks for. A pair is asked for the smaller of its two l, counted within that leng
 
 Frequent shingles (only their order and this choice depend on the list, never the result) are not
 paired up: documents that show the same one are chained to one of them, on the map side first. The
-candidates fall into connected groups; every group is compared in full, block against block, and
-only a spanning forest of its links goes on. So no list, however long, is turned into pairs.
+candidates fall into connected groups, in blocks by size. Blocks are compared with themselves and
+their neighbours first, which joins up near copies; then, of larger groups, only blocks that are not
+yet in one component. Only a spanning forest of the links goes on, so no list, however long, is
+turned into pairs, and a large group of near copies takes comparisons in proportion to its size.
 """
 
 from __future__ import annotations
@@ -341,39 +343,22 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield got
 
 
-def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one per row of df.
+def _blocked(members: DataFrame, order: list[str]) -> DataFrame:
+    """Members of groups (grp, ..) with the number of their block of BLOCK, in the given order."""
+    ranked = numbered(members, "grp", [F.col(c) for c in order], "rank")
+    return ranked.withColumn("block", F.floor(F.col("rank") / BLOCK).cast("int")).drop("rank")
 
-    A text's set holds its distinct shingles of `words` words (A-Z lower-cased); a shorter text has
-    one, the whole sequence; null, empty and blank texts have none and link with nothing, so they
-    are their own component. Texts link when 100 * intersection >= 85 * union; component_id is the
-    smallest key reachable by links. Repeated rows and equal texts link with each other, null keys
-    count as largest. Other columns of df are ignored; an empty df gives no rows.
-    """
-    spark = df.sparkSession
-    importable(spark)
-    parts = partitions(spark)
-    ranges = 4 * parts
-    texts = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    often = spark.sparkContext.broadcast(frequent_shingles(texts.select("text"), words))
-    shown = written(texts.mapInArrow(_prefixes(often, ranges, words), "kind int, doc_id long, n long, node long, range int, payload binary"))
-    docs = shown.where("kind = 0").select("doc_id", "n", "node")
 
-    posted = shown.where("kind = 1").select("range", "payload").repartition(parts, "range").sortWithinPartitions("range")
-    pairs = posted.mapInArrow(_matches, "a long, b long, hits long, needed long")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("needed").alias("needed")).where("hits >= needed").select("a", "b")
-    chained = shown.where("kind = 2").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    groups = components(pairs.union(chained))
+def _meetings(members: DataFrame, which) -> DataFrame:
+    """Pairs of blocks (grp, i, j) of a group that fit a condition on x and y and whose sizes allow a link."""
+    part = F.col("part") if "part" in members.columns else F.lit(0)
+    blocks = members.groupBy("grp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min(part).alias("part"), F.max(part).alias("last_part"))
+    sizes = f"x.grp = y.grp and x.block <= y.block and 100 * x.high >= {PERCENT} * y.low and 100 * y.high >= {PERCENT} * x.low"
+    return blocks.alias("x").join(blocks.alias("y"), F.expr(sizes) & which).select(F.col("x.grp").alias("grp"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
 
-    nodes = written(docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
-    members = nodes.join(groups, "node").select(F.col("root").alias("grp"), "node", "n", "doc_id")
-    members = numbered(members, "grp", [F.col("n"), F.col("node")], "rank").withColumn("block", F.floor(F.col("rank") / BLOCK).cast("int")).drop("rank")
-    members = written(members)
-    blocks = members.groupBy("grp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    meets = x.join(y, F.expr("x.grp = y.grp and x.block <= y.block and 100 * x.high >= 85 * y.low")).select(
-        F.col("x.grp").alias("grp"), F.col("x.block").alias("i"), F.col("y.block").alias("j")
-    )
+
+def _compared(texts: DataFrame, members: DataFrame, meets: DataFrame, words: int) -> DataFrame:
+    """Edges (a, b) that span the links within the pairs of blocks. Each member's set is shipped once for each pair."""
     sides = meets.select("grp", F.col("i").alias("block"), F.struct("i", "j", F.lit(0).alias("side")).alias("t")).union(
         meets.where("i < j").select("grp", F.col("j").alias("block"), F.struct("i", "j", F.lit(1).alias("side")).alias("t"))
     )
@@ -397,10 +382,50 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
         .mapInArrow(sets, "node long, grp long, aims array<struct<i:int,j:int,side:int>>, body binary")
         .select("grp", F.explode("aims").alias("t"), "node", "body")
         .select("grp", "t.i", "t.j", "node", "t.side", "body")
-        .repartition(parts, "grp", "i", "j")
+        .repartition(partitions(texts.sparkSession), "grp", "i", "j")
         .sortWithinPartitions("grp", "i", "j", "side")
     )
-    linked = components(held.mapInArrow(_verified, "a long, b long"))
+    return held.mapInArrow(_verified, "a long, b long")
+
+
+def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one per row of df.
+
+    A text's set holds its distinct shingles of `words` words (A-Z lower-cased); a shorter text has
+    one, the whole sequence; null, empty and blank texts have none and link with nothing, so they
+    are their own component. Texts link when 100 * intersection >= 85 * union; component_id is the
+    smallest key reachable by links. Repeated rows and equal texts link with each other, null keys
+    count as largest. Other columns of df are ignored; an empty df gives no rows.
+    """
+    spark = df.sparkSession
+    importable(spark)
+    parts = partitions(spark)
+    ranges = 4 * parts
+    texts = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    often = spark.sparkContext.broadcast(frequent_shingles(texts.select("text"), words))
+    shown = written(texts.mapInArrow(_prefixes(often, ranges, words), "kind int, doc_id long, n long, node long, range int, payload binary"))
+    docs = shown.where("kind = 0").select("doc_id", "n", "node")
+
+    posted = shown.where("kind = 1").select("range", "payload").repartition(parts, "range").sortWithinPartitions("range")
+    pairs = posted.mapInArrow(_matches, "a long, b long, hits long, needed long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("needed").alias("needed")).where("hits >= needed").select("a", "b")
+    chained = shown.where("kind = 2").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    groups = components(pairs.union(chained))
+
+    nodes = written(docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+    members = nodes.join(groups, "node").select(F.col("root").alias("grp"), "node", "n", "doc_id")
+    members = written(_blocked(members, ["n", "node"]))
+    # First blocks with themselves and their neighbours by size, which joins up what is much alike.
+    near = F.expr("y.block - x.block between 0 and 1")
+    first = written(_compared(texts, members, _meetings(members, near), words))
+    joined = components(first)
+    # Then, in groups of several blocks, what these didn't compare: blocks anew by component, all pairs but those within one.
+    large = members.groupBy("grp").agg(F.max("block").alias("last")).where("last > 1").select("grp")
+    rest = members.join(large, "grp", "left_semi").drop("block").join(joined, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    rest = written(_blocked(rest, ["part", "n", "node"]))
+    apart = F.expr("x.block <= y.block and not (x.part = x.last_part and x.part = y.part and y.part = y.last_part)")
+    second = written(_compared(texts, rest, _meetings(rest, apart), words))
+    linked = components(first.union(second))
     named = nodes.join(linked, "node", "left").withColumn("top", F.coalesce("root", "node"))
     least = named.groupBy("top").agg(F.min("doc_id").alias("component_id"))
     fate = written(named.join(least, "top").select("node", "component_id"))
