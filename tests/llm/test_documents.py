@@ -520,7 +520,14 @@ def test_jump_hash():
 
 
 def test_shards(docs, rows):
+    import struct
+
+    import xxhash
+
     out = sharding.shard(docs).collect()
+    for r in out:  # a null leaves the seed as it is
+        hashed = 42 if r.doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), seed=42)
+        assert (r.shard, r.grown_shard) == (reference_jump(hashed, 16), reference_jump(hashed, 17))
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
     slots = defaultdict(list)
     home = {}
@@ -529,3 +536,22 @@ def test_shards(docs, rows):
         assert home.setdefault(r.doc_id, r.shard) == r.shard
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_a_large_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Blocks that meet grow with the group, not with its square; outsiders of the group keep their links."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "FREQUENT", 4)
+    met = []
+    real = jaccard._compared
+    monkeypatch.setattr(jaccard, "_compared", lambda texts, members, meets, words: met.append(meets.count()) or real(texts, members, meets, words))
+    base = [f"w{i}" for i in range(200)]
+
+    def text(i):
+        return " ".join(base[: i % 190] + [f"own{i}"] + base[i % 190 + 1 :])
+
+    rows = [(i, text(i)) for i in range(240)] + [(500, " ".join(base[:100])), (501, " ".join(base[:101])), (502, " ".join(base + ["end"] * 3))]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {doc: component for doc, _, component in brute_components([(*r, None) for r in rows])}
+    assert got == want and got[501] == 500 and len({got[i] for i in range(240)}) == 1
+    assert met[0] <= 2 * 31 and sum(met) <= 4 * 31  # of 31 * 32 / 2 pairs of blocks
