@@ -221,6 +221,12 @@ def _autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q["insight_seasonality"] = _autocorrelation
 Q["insight_schema"] = lambda spark, sf_dir: spark.createDataFrame(sorted(I.detect_schema(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).items()), "column string, role string")
+_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_GIVEN = {"l_returnflag": "dimension", "l_linestatus": "dimension", "l_shipdate": "time"}
+S["insight_schema"] = " UNION ALL ".join(
+    [f"SELECT '{c}' AS \"column\", CASE WHEN count(DISTINCT {c}) < 20 AND count(DISTINCT {c}) / count(*) < 0.05 THEN 'dimension' ELSE 'measure' END AS role FROM lineitem" for c in _NUMBERS]
+    + [f"SELECT '{c}', '{role}'" for c, role in _GIVEN.items()]
+)
 Q["insight_profile"] = lambda spark, sf_dir: I.profile(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment"), order="c_custkey").withColumn("samples", F.array_join("samples", ","))
 S["insight_profile"] = """WITH f AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 1000),
 s AS (SELECT (SELECT string_agg(v, ',' ORDER BY c) FROM (SELECT c_mktsegment AS v, min(c_custkey) AS c FROM f GROUP BY 1 ORDER BY 2 LIMIT 5)) AS m,
