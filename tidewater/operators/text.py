@@ -7,12 +7,15 @@ run in Arrow batches.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.session import stored
+
 SHORTEST, LONGEST = 2, 100
 TOP_TERMS, PRIOR, LEAST_Z, LEAST_ROWS, LEAST_DF = 30, 500.0, 1.96, 3, 2
 SNIPPET = 120
@@ -97,9 +100,20 @@ def index(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.withColumn("terms", F.array_distinct(ngrams(F.col("_words"), 1, 2))).drop("_words")
 
 
+def _terms(indexed: DataFrame, *also: str) -> DataFrame:
+    """A row for each term of each row. The outer form keeps Catalyst from working the terms out once more to test their size."""
+    return indexed.select(*also, F.explode_outer("terms").alias("term")).where("term is not null")
+
+
 def doc_freq(indexed: DataFrame, least: int = LEAST_DF) -> DataFrame:
     """Rows (term, df): rows that hold a term, from `least` on."""
-    return indexed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
+    return _terms(indexed).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
+
+
+def term_counts(indexed: DataFrame, chosen: Column, least: int = LEAST_DF) -> DataFrame:
+    """Rows (term, df, y): rows that hold a term, from `least` on, and those of them that a search chose; one pass over the index."""
+    marked = indexed.withColumn("_hit", F.coalesce(chosen, F.lit(False)).cast("long"))  # once a row, before terms are taken apart
+    return _terms(marked, "_hit").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("_hit").alias("y")).where(F.col("df") >= least)
 
 
 def within_extremes(freq: DataFrame, rows: int, min_df: float = 1, max_df: float = 1.0) -> DataFrame:
@@ -116,30 +130,32 @@ def occurs(text: Column, term: str, whole: bool = False) -> Column:
     return text.rlike(r"(?<![\p{L}\p{N}_])" + re.sub(r"([^\w\s])", r"\\\1", term) + r"(?![\p{L}\p{N}_])")
 
 
+def chosen(include: list[str] = (), exclude: list[str] = (), whole: bool = False) -> Column:
+    """Whether a row's text holds all of some terms and none of others."""
+    tests = [occurs(F.col("text"), t, whole) for t in include] + [~occurs(F.col("text"), t, whole) for t in exclude]
+    return reduce(Column.__and__, tests, F.lit(True))
+
+
 def search(indexed: DataFrame, include: list[str] = (), exclude: list[str] = (), whole: bool = False) -> DataFrame:
     """Rows that hold all of some terms and none of others."""
-    for t in include:
-        indexed = indexed.where(occurs(F.col("text"), t, whole))
-    for t in exclude:
-        indexed = indexed.where(~occurs(F.col("text"), t, whole))
-    return indexed
+    return indexed.where(chosen(include, exclude, whole))
 
 
-def common_terms(subset: DataFrame, corpus_freq: DataFrame, top: int = TOP_TERMS) -> DataFrame:
-    """A search result's most frequent terms, with the share of its rows that hold them."""
-    rows = subset.count()
-    own = doc_freq(subset, 1).join(corpus_freq.select("term"), "term", "left_semi")
-    return own.select("term", F.col("df").alias("count"), (F.col("df") / F.lit(max(1, rows))).alias("score")).orderBy(F.desc("count"), "term").limit(top)
+def common_terms(counts: DataFrame, rows: int, top: int = TOP_TERMS) -> DataFrame:
+    """A search result's most frequent terms, with the share of its rows that hold them; counts as from `term_counts`."""
+    own = counts.where("y > 0").select("term", F.col("y").alias("count"), (F.col("y") / F.lit(max(1, rows))).alias("score"))
+    return own.orderBy(F.desc("count"), "term").limit(top)
 
 
-def log_odds(subset: DataFrame, corpus_freq: DataFrame, zeroed: list[str] = ()) -> DataFrame:
+def log_odds(counts: DataFrame, zeroed: list[str] = ()) -> DataFrame:
     """Rows (term, count, z): weighted log-odds of a term in a search result against the other rows, with an informative prior.
 
-    Terms of the search itself are zeroed in both before totals are formed.
+    Terms of the search itself are zeroed in both before totals are formed. The counts, as from
+    `term_counts`, are needed twice, so they are written first.
     """
     hidden = [t.lower() for t in zeroed]
-    freq = corpus_freq.where(~F.col("term").isin(hidden)) if hidden else corpus_freq
-    both = freq.join(doc_freq(subset, 1).withColumnRenamed("df", "y"), "term", "left").fillna(0, ["y"])
+    counts = stored(counts, "terms")
+    both = counts.where(~F.col("term").isin(hidden)) if hidden else counts
     totals = both.agg(F.sum("y").alias("n"), F.sum("df").alias("all"))
     both = both.join(F.broadcast(totals), F.lit(True))  # one row
     other, rest, prior = F.col("df") - F.col("y"), F.col("all") - F.col("n"), PRIOR * F.col("df") / F.col("all")
@@ -148,9 +164,9 @@ def log_odds(subset: DataFrame, corpus_freq: DataFrame, zeroed: list[str] = ())
     return both.select("term", F.col("y").alias("count"), F.when((F.col("y") > 0) & (F.col("n") > 0) & (rest > 0), z).otherwise(0.0).alias("z"))
 
 
-def distinctive_terms(subset: DataFrame, corpus_freq: DataFrame, zeroed: list[str] = (), top: int = TOP_TERMS) -> DataFrame:
+def distinctive_terms(counts: DataFrame, zeroed: list[str] = (), top: int = TOP_TERMS) -> DataFrame:
     """Terms far more frequent in a search result than elsewhere: z over 1.96, three rows at least."""
-    rows = log_odds(subset, corpus_freq, zeroed).where((F.col("z") > LEAST_Z) & (F.col("count") >= LEAST_ROWS))
+    rows = log_odds(counts, zeroed).where((F.col("z") > LEAST_Z) & (F.col("count") >= LEAST_ROWS))
     return rows.orderBy(F.desc("z"), "term").limit(top)
 
 
@@ -200,7 +216,3 @@ def language(text: Column, least: int = 20, margin: float = 1.5) -> Column:
     first, second = F.element_at(ranked, 1), F.element_at(ranked, 2)
     sure = (first["n"] >= 2) & (first["n"] >= margin * second["n"])
     return F.when((F.length(text) >= least) & sure, first["code"])
-
-
-def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_r") <= k).drop("_r")

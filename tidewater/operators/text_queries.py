@@ -36,20 +36,23 @@ Q["text_search_whole"] = lambda spark, sf_dir: X.search(_index(spark, sf_dir), [
 S["text_search_whole"] = r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])mit($|[^\p{L}\p{N}_])')"
 
 
-def _subset(spark, sf_dir):
-    index = _index(spark, sf_dir).cache()
-    return X.search(index, ["license"]), X.doc_freq(index)
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.term_counts(_index(spark, sf_dir), X.chosen(["license"]))
+
+
+def _common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.common_terms(_counts(spark, sf_dir), X.search(_index(spark, sf_dir), ["license"]).count())
 
 
 _SUB = "s AS (SELECT * FROM i WHERE contains(t, 'license')), o AS (SELECT term, count(*) AS y FROM (SELECT unnest(terms) AS term FROM s) GROUP BY 1)"
-Q["text_common_terms"] = lambda spark, sf_dir: X.common_terms(*_subset(spark, sf_dir))
+Q["text_common_terms"] = _common
 S["text_common_terms"] = f"WITH {_WORDS}, {_SUB} SELECT term, y AS count, y / (SELECT count(*) FROM s) AS score FROM o JOIN f USING (term) ORDER BY y DESC, term LIMIT 30"
-Q["text_log_odds"] = lambda spark, sf_dir: X.log_odds(*_subset(spark, sf_dir), ["license"]).withColumn("z", F.round("z", 6)).where("count > 0")
+Q["text_log_odds"] = lambda spark, sf_dir: X.log_odds(_counts(spark, sf_dir), ["license"]).withColumn("z", F.round("z", 6)).where("count > 0")
 S["text_log_odds"] = f"""WITH {_WORDS}, {_SUB},
 b AS (SELECT term, df, coalesce(y, 0) AS y FROM f LEFT JOIN o USING (term) WHERE term <> 'license'),
 n AS (SELECT *, sum(y) OVER () AS n, sum(df) OVER () AS a, 500.0::DOUBLE * df / sum(df) OVER () AS p FROM b)
 SELECT term, y AS count, round((ln((y + p) / (n + 500 - y - p)) - ln((df - y + p) / (a - n + 500 - (df - y) - p))) / sqrt(1 / (y + p) + 1 / (df - y + p)), 6) AS z FROM n WHERE y > 0"""
-Q["text_distinctive_terms"] = lambda spark, sf_dir: X.distinctive_terms(*_subset(spark, sf_dir), ["license"]).select("term", "count")
+Q["text_distinctive_terms"] = lambda spark, sf_dir: X.distinctive_terms(_counts(spark, sf_dir), ["license"]).select("term", "count")
 S["text_distinctive_terms"] = S["text_log_odds"].replace("SELECT term, y AS count, round(", "SELECT term, count FROM (SELECT term, y AS count, (").replace(", 6) AS z FROM n WHERE y > 0", ") AS z FROM n WHERE y >= 3) WHERE z > 1.96 ORDER BY z DESC, term LIMIT 30")
 Q["text_extremes"] = lambda spark, sf_dir: X.within_extremes(X.doc_freq(_index(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/documents.parquet").count(), 0.05, 0.5).select("term", "df")
 S["text_extremes"] = f"WITH {_WORDS} SELECT term, df FROM f WHERE df >= ceil(0.05 * (SELECT count(*) FROM documents)) AND df <= floor(0.5 * (SELECT count(*) FROM documents))"
