@@ -123,3 +123,62 @@ def test_semantics(spark):
     left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "id int, name string")
     assert sorted((r.k, r.name or "") for r in Z.many_to_one(left, right, [("k", "id")]).collect()) == [(1, "a"), (2, "")]
     assert math.isclose(R.effect(R.Finding("trend", "m", {"slope": 0.0, "r_squared": 1.0})), 0.7)
+
+
+@pytest.mark.parametrize("buckets", [2, 7, 512])
+def test_running_sums_do_not_depend_on_the_buckets(spark, buckets):
+    rng = random.Random(buckets)
+    places = {k: sorted({round(rng.gauss(0, 3), 1) for _ in range(n)}) for k, n in (("a", 150), ("b", 1), ("c", 12))}
+    rows = [(k, v, rng.randrange(9)) for k, vs in places.items() for v in vs]
+    got = I.running(spark.createDataFrame(rows, "k string, v double, n long"), ["k"], "v", ["n"], buckets).collect()
+    want = {(k, v): (sum(n for j, u, n in rows if j == k and u <= v), sum(n for j, _, n in rows if j == k)) for k, v, _ in rows}
+    assert len(got) == len(rows) and {(r.k, r.v): (r.n_upto, r.n_all) for r in got} == want
+
+
+def test_running_sums_of_no_rows(spark):
+    empty = spark.createDataFrame([], "k string, v double, n long")
+    assert I.running(empty, ["k"], "v", ["n"]).collect() == []
+
+
+def test_concentration_with_equal_segments(spark):
+    sums = {"a": 50.0, "b": 10.0, "c": 10.0, "d": 10.0, "e": 5.0, "f": 5.0, None: 10.0}
+    df = spark.createDataFrame([("p", k, v / 2) for k, v in sums.items() for _ in range(2)] + [("p", "a", -5.0), ("p", "g", None)], "period string, d string, v double")
+    got = I.concentration(df, ["d"], ["v"]).first()
+    shares = sorted(v / 100 for v in sums.values())
+    below, area = 0.0, 0.0
+    for x in shares:
+        area += 2 * below + x
+        below += x
+    assert (got.segments, got["rows"]) == (7, 14) and got.hhi == pytest.approx(sum(x * x for x in shares)) and got.top_share == pytest.approx(70)
+    assert got.gini == pytest.approx(1 - area / 7)
+
+
+def test_membership_counts_all_and_lists_the_first(spark):
+    base = spark.createDataFrame([("1", f"old{i:03d}") for i in range(30)] + [("2", f"new{i:03d}") for i in range(40)] + [("1", "both"), ("2", "both"), ("2", None)], "period string, d string")
+    got = I.membership(base, ["d"], "2", "1", listed=3).first()
+    assert (got.added, got.removed, got.previous_size, got.current_size) == (40, 30, 31, 41)
+    assert got.added_values == ["new000", "new001", "new002"] and got.removed_values == ["old000", "old001", "old002"]
+
+
+@pytest.mark.parametrize("n", [1, 3, 10, 49, 50, 60])
+def test_even_sample(spark, n):
+    df = spark.createDataFrame([(i,) for i in range(50)], "k long")
+    assert sorted(r.k for r in I.evenly(df, "k", n).collect()) == ([i * 50 // n for i in range(n)] if n < 50 else list(range(50)))
+    ties = spark.createDataFrame([(i // 20, i) for i in range(50)], "k long, i long")
+    assert sorted(r.k for r in I.evenly(ties, "k", n).collect()) == ([i * 50 // n // 20 for i in range(n)] if n < 50 else [i // 20 for i in range(50)])
+
+
+def test_shuffled_sample_is_the_same_again(spark):
+    df = spark.range(200)
+    first = [r.id for r in I.shuffled_sample(df, "id", 20, 1).collect()]
+    assert len(set(first)) == 20 and first == [r.id for r in I.shuffled_sample(df.repartition(7), "id", 20, 1).collect()]
+    assert first != [r.id for r in I.shuffled_sample(df, "id", 20, 2).collect()]
+
+
+def test_term_counts_of_a_search(spark):
+    df = spark.createDataFrame([(1, "red fox"), (2, "red hen"), (3, "blue fox"), (4, None), (5, "")], "id int, t string")
+    index = X.index(df, "id", ["t"])
+    got = {r.term: (r.df, r.y) for r in X.term_counts(index, X.chosen(["red"]), 1).collect()}
+    assert got == {"red": (2, 2), "fox": (2, 1), "hen": (1, 1), "blue": (1, 0), "red fox": (1, 1), "red hen": (1, 1), "blue fox": (1, 0)}
+    assert X.term_counts(index, X.chosen(["red"], ["hen"]), 2).where("term = 'red'").first().y == 1
+    assert [tuple(r) for r in X.common_terms(X.term_counts(index, X.chosen(["red"]), 1), 2, 2).collect()] == [("red", 2, 1.0), ("fox", 1, 0.5)]

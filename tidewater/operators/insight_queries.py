@@ -123,11 +123,14 @@ _add(
 )
 _add(
     "insight_distribution_shift",
-    lambda b: _r(I.distribution_shift(b, MEASURES, "1998-Q4", "1995-Q1", least=0.0), "ks_statistic", digits=6).drop("p_value"),
+    lambda b: _r(I.distribution_shift(b, MEASURES, "1998-Q4", "1995-Q1", least=0.0), "ks_statistic", "p_value", digits=6),
     f"""WITH {_BASE}, r AS (SELECT 'l_quantity' AS measure, l_quantity AS v, period FROM base UNION ALL SELECT 'l_extendedprice', l_extendedprice, period FROM base),
     c AS (SELECT measure, v, count(*) FILTER (period = '1995-Q1') AS a, count(*) FILTER (period = '1998-Q4') AS b FROM r WHERE period IN ('1995-Q1', '1998-Q4') GROUP BY 1, 2),
-    g AS (SELECT *, abs(sum(a) OVER u / sum(a) OVER w - sum(b) OVER u / sum(b) OVER w) AS g FROM c WINDOW u AS (PARTITION BY measure ORDER BY v), w AS (PARTITION BY measure))
-    SELECT measure, round(max(g), 6) AS ks_statistic, CAST(sum(a) AS BIGINT) AS previous_n, CAST(sum(b) AS BIGINT) AS current_n FROM g GROUP BY 1 HAVING sum(a) >= 5 AND sum(b) >= 5""",
+    g AS (SELECT *, abs(sum(a) OVER u / sum(a) OVER w - sum(b) OVER u / sum(b) OVER w) AS g FROM c WINDOW u AS (PARTITION BY measure ORDER BY v), w AS (PARTITION BY measure)),
+    k AS (SELECT measure, max(g) AS d, sum(a) AS a, sum(b) AS b, sqrt(sum(a) * sum(b) / (sum(a) + sum(b))) AS n FROM g GROUP BY 1 HAVING sum(a) >= 5 AND sum(b) >= 5),
+    x AS (SELECT *, -2 * power((n + 0.12 + 0.11 / n) * d, 2) AS x FROM k)
+    SELECT measure, round(d, 6) AS ks_statistic, CAST(a AS BIGINT) AS previous_n, CAST(b AS BIGINT) AS current_n,
+           round(greatest(0, least(1, 2 * (exp(x) - exp(4 * x) + exp(9 * x) - exp(16 * x) + exp(25 * x)))), 6) AS p_value FROM x""",
 )
 _add(
     "insight_concentration",
@@ -220,6 +223,13 @@ def _autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q["insight_seasonality"] = _autocorrelation
+# Over thousands of days the p-value of a correlation beyond 0.5 is 0 to any digit, so the strongest one wins.
+S["insight_seasonality"] = f"""WITH o AS (SELECT CAST(o_orderdate AS DATE) AS ts, count(*) AS n FROM orders GROUP BY 1),
+w AS (SELECT n + 40 * (date_diff('day', DATE '1992-01-01', ts) % 7) AS v, row_number() OVER (ORDER BY ts) AS i, count(*) OVER () AS n, date_diff('day', lag(ts) OVER (ORDER BY ts), ts) AS gap FROM o),
+d AS (SELECT *, avg(gap) OVER () AS days FROM w),
+t AS (SELECT i, v, n, period_days, season, CAST(round(period_days / days) AS BIGINT) AS lag FROM d, (VALUES {", ".join(f"({d}, '{name}')" for d, name in I.SEASONS)}) s(period_days, season)),
+r AS (SELECT a.period_days, a.season, corr(a.v, b.v) AS r FROM t a JOIN t b ON b.season = a.season AND b.i = a.i + a.lag WHERE a.lag > 0 AND a.n >= 2 * a.lag + 3 GROUP BY 1, 2)
+SELECT 'orders' AS series, period_days, season, round(r, 4) AS autocorrelation FROM r WHERE abs(r) > 0.5 ORDER BY abs(r) DESC LIMIT 1"""
 Q["insight_schema"] = lambda spark, sf_dir: spark.createDataFrame(sorted(I.detect_schema(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).items()), "column string, role string")
 _NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _GIVEN = {"l_returnflag": "dimension", "l_linestatus": "dimension", "l_shipdate": "time"}
@@ -248,6 +258,13 @@ SELECT 'part' AS dimension, count(*) FILTER (now AND NOT past) AS added, count(*
        array_to_string(list_sort(list(value) FILTER (now AND NOT past))[:3], ',') AS first_added FROM b"""
 
 
+Q["sample_evenly"] = lambda spark, sf_dir: I.evenly(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"), "o_orderkey", 100)
+S["sample_evenly"] = """WITH p AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, o_custkey FROM p WHERE i IN (SELECT k * (SELECT count(*) FROM orders) // 100 FROM range(100) t(k))"""
+Q["sample_shuffled"] = lambda spark, sf_dir: I.shuffled_sample(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey", 100, 7)
+S["sample_shuffled"] = "SELECT o_orderkey FROM orders ORDER BY md5('7:' || o_orderkey) LIMIT 100"
+
+
 def _report(which: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from tidewater.operators import reports

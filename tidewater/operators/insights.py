@@ -19,6 +19,8 @@ from tidewater.functions.periods import any_day, label
 #: Values of a dimension that get series, the least share of rows, and series in all.
 TOP_VALUES, MIN_IMPACT, BUDGET = 12, 0.02, 20_000
 KEY = ["dimension", "value", "measure", "agg", "transform"]
+#: Pieces that the sorted values of one column are cut into, and values of a kind that a finding lists.
+BUCKETS, LISTED = 512, 100
 
 
 def prepared(df: DataFrame, time: str | None, dims: list[str], measures: list[str], granularity: str = "month") -> DataFrame:
@@ -248,14 +250,32 @@ def latest_periods(base: DataFrame) -> tuple[str | None, str | None]:
     return (got[0] if got else None, got[1] if len(got) > 1 else None)
 
 
+def running(cells: DataFrame, keys: list[str], at: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """Adds to rows of one place `at` each, for each sum s, `s_upto` (up to and with the row, by `at`) and `s_all`, by key.
+
+    A key may hold most rows: they are cut at approximate quantiles into buckets, which are summed
+    one by one; only keys x buckets rows meet in one place. Keys should be few, such as columns.
+    """
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = cells.groupBy(*keys).agg(F.percentile_approx(at, shares, 10 * buckets).alias("_cuts"))
+    cuts = cells.sparkSession.createDataFrame(cuts.collect(), cuts.schema)  # keys x buckets numbers, the same for both uses below
+    nth = F.size(F.filter("_cuts", lambda c: c < F.col(at)))
+    placed = cells.join(F.broadcast(cuts), keys).withColumn("_bucket", nth).drop("_cuts")
+    each, whole = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    totals = placed.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    totals = totals.select(*keys, "_bucket", *[x for c in sums for x in (F.coalesce(F.sum(f"_{c}").over(each), F.lit(0)).alias(f"_{c}"), F.sum(f"_{c}").over(whole).alias(f"{c}_all"))])
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumns({f"{c}_upto": F.sum(c).over(inside) for c in sums}).join(F.broadcast(totals), [*keys, "_bucket"])
+    return out.withColumns({f"{c}_upto": F.col(f"{c}_upto") + F.col(f"_{c}") for c in sums}).drop("_bucket", *[f"_{c}" for c in sums])
+
+
 def distribution_shift(base: DataFrame, measures: list[str], current: str, previous: str, least: float = 0.2) -> DataFrame:
     """Kolmogorov-Smirnov distance between a measure's values of two periods, five values each at least."""
     parts = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"`{m}`").alias("v")) for m in measures])
     rows = base.where(F.col("period").isin(current, previous)).withColumn("_m", F.explode(parts)).select("period", "_m.measure", "_m.v").where("v is not null")
     cells = rows.groupBy("measure", "v").agg(F.count(F.when(F.col("period") == previous, 1)).alias("a"), F.count(F.when(F.col("period") == current, 1)).alias("b"))
-    upto, whole = Window.partitionBy("measure").orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("measure")
-    gap = F.abs(F.try_divide(F.sum("a").over(upto), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(upto), F.sum("b").over(whole)))
-    row = cells.withColumn("_g", gap).groupBy("measure").agg(F.max("_g").alias("ks_statistic"), F.sum("a").alias("previous_n"), F.sum("b").alias("current_n"))
+    gap = F.abs(F.try_divide("a_upto", "a_all") - F.try_divide("b_upto", "b_all"))
+    row = running(cells, ["measure"], "v", ["a", "b"]).withColumn("_g", gap).groupBy("measure").agg(F.max("_g").alias("ks_statistic"), F.sum("a").alias("previous_n"), F.sum("b").alias("current_n"))
     row = row.where((F.col("previous_n") >= 5) & (F.col("current_n") >= 5) & (F.col("ks_statistic") >= least))
     return row.withColumn("p_value", st.column(st.kolmogorov_p, F.col("ks_statistic"), F.col("previous_n"), F.col("current_n")))
 
@@ -274,13 +294,14 @@ def concentration(base: DataFrame, dims: list[str], measures: list[str], hhi: fl
     parts = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(f"`{d}`"), F.lit("")).alias("value"), F.lit(m).alias("measure"), F.col(f"`{m}`").alias("v")) for d in dims for m in measures])
     rows = base.withColumn("_p", F.explode(parts)).select("_p.*").where("v > 0")
     sums = rows.groupBy("dimension", "measure", "value").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy("dimension", "measure")
-    up = whole.orderBy("share", "value").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("share", F.col("s") / F.sum("s").over(whole)).withColumn("_cum", F.sum("share").over(up))
-    sums = sums.withColumn("_place", F.row_number().over(whole.orderBy(F.desc("share"), "value")))
-    row = sums.groupBy("dimension", "measure").agg(
-        F.sum(F.col("share") * F.col("share")).alias("hhi"), (F.sum(F.when(F.col("_place") <= 3, F.col("share"))) * 100).alias("top_share"),
-        F.count(F.lit(1)).alias("segments"), F.sum("n").alias("rows"), F.sum(2 * F.col("_cum") - F.col("share")).alias("_area"),
+    # Segments of one sum are one row; where m of them follow an area below, they add m steps to the Lorenz curve.
+    sizes = sums.groupBy("dimension", "measure", "s").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).withColumn("t", F.col("m") * F.col("s"))
+    sizes = running(sizes, ["dimension", "measure"], "s", ["m", "t"])
+    share, below = F.col("s") / F.col("t_all"), (F.col("t_upto") - F.col("t")) / F.col("t_all")
+    leading = F.greatest(F.lit(0), F.least(F.col("m"), 3 - (F.col("m_all") - F.col("m_upto"))))
+    row = sizes.groupBy("dimension", "measure").agg(
+        F.sum(F.col("m") * share * share).alias("hhi"), (F.sum(leading * share) * 100).alias("top_share"),
+        F.sum("m").alias("segments"), F.sum("n").alias("rows"), F.sum(2 * F.col("m") * below + F.col("m") * F.col("m") * share).alias("_area"),
     )
     row = row.withColumn("gini", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("_area") / F.col("segments")))).drop("_area")
     row = row.where((F.col("hhi") >= hhi) | (F.col("top_share") >= top))
@@ -305,17 +326,19 @@ def dominance(cubed: DataFrame, measures: list[str]) -> DataFrame:
     return row.withColumn("significance", _capped(1 - F.col("p_value"), F.col("values"))).drop("_a", "_sxx", "_sxy", "_syy")
 
 
-def membership(base: DataFrame, dims: list[str], current: str, previous: str) -> DataFrame:
-    """Values of a dimension that came and went between two periods, blank ones left out."""
+def membership(base: DataFrame, dims: list[str], current: str, previous: str, listed: int = LISTED) -> DataFrame:
+    """Values of a dimension that came and went between two periods, blank ones left out: all are counted, the first of each kind listed."""
     here = _slices(base.where(F.col("period").isin(current, previous)), dims).groupBy("dimension", "value").agg(
         F.max(F.col("period") == current).alias("now"), F.max(F.col("period") == previous).alias("then")
     )
     row = here.groupBy("dimension").agg(
         F.count(F.when(F.col("now") & ~F.col("then"), 1)).alias("added"), F.count(F.when(~F.col("now") & F.col("then"), 1)).alias("removed"),
         F.count(F.when(F.col("then"), 1)).alias("previous_size"), F.count(F.when(F.col("now"), 1)).alias("current_size"),
-        F.array_sort(F.collect_set(F.when(F.col("now") & ~F.col("then"), F.col("value")))).alias("added_values"),
-        F.array_sort(F.collect_set(F.when(~F.col("now") & F.col("then"), F.col("value")))).alias("removed_values"),
     )
+    place = F.row_number().over(Window.partitionBy("dimension", "now").orderBy("value"))  # Spark keeps the first ones of each task before it shuffles
+    first = here.where("now <> then").withColumn("_r", place).where(F.col("_r") <= listed)
+    first = first.groupBy("dimension").agg(*[F.array_sort(F.collect_list(F.when(c, F.col("value")))).alias(f"{name}_values") for name, c in (("added", F.col("now")), ("removed", F.col("then")))])
+    row = row.join(first, "dimension")
     row = row.where("previous_size > 0 and current_size > 0 and added + removed > 0")
     return row.withColumn("p_value", st.column(st.churn_p, F.col("added"), F.col("removed"), F.col("previous_size")))
 
@@ -361,8 +384,8 @@ def segment_attribution(base: DataFrame, dims: list[str], measures: list[str]) -
     parts = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(f"`{d}`"), F.lit("")).alias("value"), F.lit(m).alias("measure"), F.col(f"`{m}`").alias("v")) for d in dims for m in measures])
     rows = base.withColumn("_p", F.explode(parts)).select("_p.*").where("v is not null")
     own = rows.groupBy("dimension", "measure", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    whole = Window.partitionBy("dimension", "measure")
-    own = own.withColumns({"all_n": F.sum("n").over(whole), "all_s": F.sum("s").over(whole), "all_q": F.sum("q").over(whole)})
+    totals = own.groupBy("dimension", "measure").agg(*[F.sum(c).alias(f"all_{c}") for c in "nsq"])  # a row for each pair of columns
+    own = own.join(F.broadcast(totals), ["dimension", "measure"])
     own = own.where("n >= 2 and all_n - n >= 2 and all_n >= 3")
     mean, other_n = F.col("s") / F.col("n"), F.col("all_n") - F.col("n")
     other = (F.col("all_s") - F.col("s")) / other_n
@@ -372,8 +395,8 @@ def segment_attribution(base: DataFrame, dims: list[str], measures: list[str]) -
         "change_percent": F.coalesce(F.try_divide(mean - other, other) * 100, F.lit(0.0)),
         "p_value": st.column(st.welch_p, mean, spread(F.col("n"), mean, F.col("q")), F.col("n"), other, spread(other_n, other, F.col("all_q") - F.col("q")), other_n),
     })
-    best = F.row_number().over(whole.orderBy(F.desc(F.abs(F.round("contribution", 9))), "value"))
-    return own.withColumn("_b", best).where("_b = 1").select("dimension", "measure", F.when(F.col("value") == "", "(blank)").otherwise(F.col("value")).alias("value"), "n", "segment_mean", "other_mean", "contribution", "change_percent", "p_value")
+    best = F.min(F.struct((-F.abs(F.round("contribution", 9))).alias("_c"), *["value", "n", "segment_mean", "other_mean", "contribution", "change_percent", "p_value"]))
+    return own.groupBy("dimension", "measure").agg(best.alias("_b")).select("dimension", "measure", "_b.*").select("dimension", "measure", F.when(F.col("value") == "", "(blank)").otherwise(F.col("value")).alias("value"), "n", "segment_mean", "other_mean", "contribution", "change_percent", "p_value")
 
 
 def period_segments(base: DataFrame, dims: list[str], measures: list[str], period: str) -> DataFrame:
@@ -382,8 +405,8 @@ def period_segments(base: DataFrame, dims: list[str], measures: list[str], perio
     rows = base.where("period is not null").withColumn("_here", F.col("period") == period).withColumn("_p", F.explode(parts)).select("_here", "_p.*").where("v is not null")
     here, there = F.when(F.col("_here"), F.col("v")), F.when(~F.col("_here"), F.col("v"))
     seg = rows.groupBy("dimension", "measure", "value").agg(F.count(here).alias("n"), F.sum(here).alias("_a"), F.count(there).alias("_m"), F.sum(there).alias("_b"))
-    whole = Window.partitionBy("dimension", "measure")
-    seg = seg.withColumn("_total", (F.try_divide(F.sum("_a").over(whole), F.sum("n").over(whole)) - F.try_divide(F.sum("_b").over(whole), F.sum("_m").over(whole))) * F.sum("n").over(whole))
+    total = (F.try_divide(F.sum("_a"), F.sum("n")) - F.try_divide(F.sum("_b"), F.sum("_m"))) * F.sum("n")
+    seg = seg.join(F.broadcast(seg.groupBy("dimension", "measure").agg(total.alias("_total"))), ["dimension", "measure"])  # a row for each pair of columns
     seg = seg.where((F.col("n") > 0) & (F.col("_m") > 0) & (F.abs("_total") >= 0.0001))
     now, then = F.col("_a") / F.col("n"), F.col("_b") / F.col("_m")
     return seg.select(
@@ -488,14 +511,22 @@ def profile(df: DataFrame, samples: int = 5, most: int = 60, order: str | None =
 
 
 def evenly(df: DataFrame, order: str, n: int) -> DataFrame:
-    """n rows at even places in an order."""
+    """n rows at even places in the order of a number, date or time, best a distinct one; all rows where there are no more.
+
+    Which of several rows of one value are taken goes by their hash, and those rows meet in one task.
+    """
+    keys = df.groupBy(F.lit("").alias("_k"), F.col(f"`{order}`").alias("_at")).agg(F.count(F.lit(1)).alias("m"))
     total = df.count()
     if total <= n:
         return df
-    at = df.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)) - 1)
-    return at.where(F.floor((F.col("_i") * n + n - 1) / total) > F.floor((F.col("_i") * n - 1) / total)).drop("_i").limit(n)
+    last = F.col("m_upto")  # places of a value's rows: from last - m to last - 1; place i is taken where i * n / total passes a whole number
+    taken = F.floor((last * n - 1) / total) - F.floor(((last - F.col("m")) * n - 1) / total)
+    picked = running(keys, ["_k"], "_at", ["m"]).select("_at", taken.alias("_taken")).where("_taken > 0")
+    rows = df.join(picked, F.col(f"`{order}`") == F.col("_at"))
+    nth = F.row_number().over(Window.partitionBy("_at").orderBy(*[F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]))
+    return rows.withColumn("_n", nth).where("_n <= _taken").drop("_at", "_taken", "_n")
 
 
 def shuffled_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows that a seed picks by the hash of a key, the same on every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows that a seed picks by the hash of a key, the same on every run; a top n by task, then one of all."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))), F.col(f"`{key}`")).limit(n)
