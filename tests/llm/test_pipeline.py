@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import registry
+from tidewater.llm import common, registry
 
 
 def test_registry_has_every_operator():
@@ -21,3 +21,16 @@ def test_pipeline(spark, docs, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path))
     tokens = packed.groupBy("doc_id").agg(F.sum("length").alias("n")).count()
     assert tokens == now.select("doc_id").distinct().count()
+
+
+def test_a_workers_table_goes_when_another_operator_runs(monkeypatch):
+    monkeypatch.setattr(common, "_held", {})
+    monkeypatch.setattr(common, "_user", "")
+    common._settle("a")
+    first = common.held("t", list)
+    common._settle("a")
+    assert common.held("t", list) is first
+    common._settle("b")
+    assert not common._held and common.held("u", list) is not first
+    common.held("v", list)
+    assert list(common._held) == ["v"]

@@ -21,10 +21,22 @@ FEW = 500_000
 
 
 _held: dict[str, object] = {}
+_user = ""
+
+
+def _settle(user: str) -> None:
+    """Lets the worker's table go if the task that begins belongs to another operator than the last one.
+
+    Functions sent to workers carry copies of the variables they name, so this is one they call by name.
+    """
+    global _user
+    if user != _user:
+        _held.clear()
+    _user = user
 
 
 def held(name: str, make: Callable[[], object]) -> object:
-    """A worker's one large table: made when first asked for, and let go when another one is.
+    """A worker's one large table: made when first asked for, and let go when another one is, or another operator runs.
 
     Python workers live on between stages, so tables of earlier stages would add up.
     """
@@ -43,6 +55,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
     @functools.wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _settle(run.__module__)
         try:
             yield from run(batches)
         finally:
