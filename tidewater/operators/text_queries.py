@@ -57,6 +57,10 @@ S["text_distinctive_terms"] = S["text_log_odds"].replace("SELECT term, y AS coun
 Q["text_extremes"] = lambda spark, sf_dir: X.within_extremes(X.doc_freq(_index(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/documents.parquet").count(), 0.05, 0.5).select("term", "df")
 S["text_extremes"] = f"WITH {_WORDS} SELECT term, df FROM f WHERE df >= ceil(0.05 * (SELECT count(*) FROM documents)) AND df <= floor(0.5 * (SELECT count(*) FROM documents))"
 Q["text_language"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", X.language(F.col("text")).alias("language"))
+_HITS = " UNION ALL ".join(f"SELECT doc_id, n, '{c}' AS code, len(list_filter(words, lambda x: x IN ({', '.join(repr(w) for w in ws)}))) AS hits FROM t" for c, ws in X.FUNCTION_WORDS.items())
+S["text_language"] = rf"""WITH t AS (SELECT doc_id, length(text) AS n, regexp_extract_all(lower(text), '\p{{L}}+') AS words FROM documents), h AS ({_HITS}),
+r AS (SELECT *, row_number() OVER w AS place, lead(hits) OVER w AS second FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY hits DESC, code DESC))
+SELECT doc_id, CASE WHEN n >= 20 AND hits >= 2 AND hits >= 1.5 * second THEN code END AS language FROM r WHERE place = 1"""
 
 
 def _code(spark, sf_dir):
@@ -112,6 +116,63 @@ Q["enrichment_cells"] = _enriched
 S["enrichment_cells"] = "SELECT doc_id, lang, CASE WHEN length(text) > 1000 THEN 'long' ELSE 'short' END AS category, CAST(len(string_split(text, ' ')) AS BIGINT) AS tokens FROM documents"
 
 
+def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of which those of English texts are cached already, marked so that they can be told apart."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    known = E.with_hash(docs.where("lang = 'en'"), ["text"]).select("input_hash", F.lit("cached").alias("category"), F.lit(-1).cast("long").alias("tokens")).distinct()
+    cells = E.computed_cells(docs, ["text"], known, _classified, "category string, tokens long")
+    return E.materialised(docs, ["text"], cells).select("doc_id", "category", "tokens")
+
+
+Q["enrichment_cached_cells"] = _cached
+S["enrichment_cached_cells"] = """WITH k AS (SELECT DISTINCT coalesce(text, '') AS body FROM documents WHERE lang = 'en'), d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
+SELECT doc_id, CASE WHEN k.body IS NOT NULL THEN 'cached' WHEN length(d.body) > 1000 THEN 'long' ELSE 'short' END AS category,
+       CASE WHEN k.body IS NOT NULL THEN -1 ELSE CAST(len(string_split(d.body, ' ')) AS BIGINT) END AS tokens FROM d LEFT JOIN k ON d.body = k.body"""
+Q["input_hashes"] = lambda spark, sf_dir: E.with_hash(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["text", "lang"]).select("doc_id", "input_hash")
+S["input_hashes"] = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS l FROM documents)
+SELECT doc_id, sha256('4:lang' || strlen(l) || ':' || l || '4:text' || strlen(t) || ':' || t) AS input_hash FROM d"""
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles and turns as the pairs that were expected and found; the found ones repeat themselves and miss the long texts."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    pair, odd = F.concat_ws(":", "role", "turn"), F.concat_ws(":", "role", F.col("turn") + 100)
+    found = F.array_union(F.collect_list(F.when(F.length("text") < 200, pair)), F.collect_list(F.when(F.length("text") % 5 == 0, odd)))
+    rows = c.groupBy("conv_id").agg(F.collect_list(pair).alias("expected"), F.concat(found, found).alias("found"))
+    return E.evaluated(rows, "expected", "found")
+
+
+Q["enrichment_eval"] = _evaluated
+S["enrichment_eval"] = """WITH e AS (SELECT DISTINCT conv_id, role || ':' || turn AS p FROM conversations),
+f AS (SELECT conv_id, role || ':' || turn AS p FROM conversations WHERE length(text) < 200 UNION SELECT conv_id, role || ':' || (turn + 100) FROM conversations WHERE length(text) % 5 = 0),
+n AS (SELECT (SELECT count(*) FROM (SELECT * FROM e INTERSECT SELECT * FROM f)) AS hits, (SELECT count(*) FROM f) AS f, (SELECT count(*) FROM e) AS e)
+SELECT hits, coalesce(hits / nullif(f, 0), 1.0) AS precision, coalesce(hits / nullif(e, 0), 1.0) AS recall FROM n"""
+
+
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages written in several ways, with a link made from each row and its segment's name."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    written = F.element_at(F.array(F.col("lang"), F.concat(F.upper("lang"), F.lit("-XX")), F.concat(F.lit(" "), "lang", F.lit("_Latn_XX "))), (F.col("doc_id") % 3 + 1).cast("int"))
+    link = web.filled("https://x.example/{source}/{doc_id}?of={nothing}", {"source": F.col("source"), "doc_id": F.col("doc_id")})
+    segment = web.blank(F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("source")))
+    return d.select("doc_id", web.language_tag(written).alias("tag"), link.alias("link"), segment.alias("segment"))
+
+
+Q["tags_links_segments"] = _tags
+S["tags_links_segments"] = """SELECT doc_id, lower(lang) AS tag, 'https://x.example/' || coalesce(source, '') || '/' || doc_id || '?of={nothing}' AS link,
+CASE WHEN doc_id % 4 = 0 THEN '(blank)' ELSE source END AS segment FROM documents"""
+
+
+def _visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ip = F.concat(F.lit("10.0.0."), F.col("user_id") % 200)
+    return e.select("event_id", web.visitor_id(F.date_format("ts", "yyyy-MM-dd"), F.lit("site"), ip, F.col("event_type")).alias("visitor_id"))
+
+
+Q["visitor_ids"] = _visitors
+S["visitor_ids"] = "SELECT event_id, substr(sha256(concat_ws('|', strftime(ts, '%Y-%m-%d'), 'site', '10.0.0.' || (user_id % 200), event_type)), 1, 16) AS visitor_id FROM events"
+
+
 def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = E.with_hash(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language")), ["text"])
     return E.usage_by_language(docs, docs.select("input_hash", F.length("text").cast("long").alias("tokens")).dropDuplicates(["input_hash"]))
