@@ -160,3 +160,12 @@ def test_compact_deals_a_large_partition_out(spark, store):
     assert sorted(map(tuple, out.collect())) == sorted(rows)
     files = out.withColumn("file", F.input_file_name()).groupBy("v").agg(F.count_distinct("file").alias("n"))
     assert {r.v: r.n for r in files.collect()}["hot"] > 1
+
+
+def test_compact_keeps_rows_with_maps_and_nulls(spark, store):
+    rows = [(i % 7 or None, "hot", {"k": i}) for i in range(80)]
+    for part in (rows[:40], rows[40:]):
+        store.ingest(spark.createDataFrame(part, "a int, v string, m map<string,int>"), "s", "maps", partition_by=["v"])
+    assert store.compact("s", "maps", rows_per_file=20) == 2
+    got = [(r.a, r.v, r.m["k"]) for r in store.read("s", "maps").collect()]
+    assert sorted(got, key=lambda r: r[2]) == [(a, v, m["k"]) for a, v, m in rows]

@@ -238,7 +238,9 @@ class Store:
             names = {c: f"_p{i}" for i, c in enumerate(now.partition_by)}
             sizes = sizes.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], "_files")
             same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(n)) for c, n in names.items()])
-            salted = df.join(sizes, same, "left").withColumn("_salt", F.floor(F.rand(7) * F.col("_files")))
+            # By content: a random salt would deal rows differently when a lost task runs again.
+            plain = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+            salted = df.join(sizes, same, "left").withColumn("_salt", F.pmod(F.xxhash64(*plain), F.col("_files").cast("long")))
             df = salted.repartition(*by, F.col("_salt")).drop("_salt", "_files", *names.values())
         else:
             df = df.coalesce(max(1, -(-df.count() // rows_per_file)))

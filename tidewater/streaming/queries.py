@@ -58,6 +58,31 @@ SELECT date, CASE WHEN w <= 575 THEN 'Mobile' WHEN agent = 1 THEN 'Tablet' ELSE
        count(*) AS n, count(DISTINCT event_id) AS ids, count(DISTINCT (user_id % 200, agent)) AS visitors, count(*) FILTER (event_id % 2 = 1 OR props = '{}') AS bare, 16 AS id_length FROM e GROUP BY 1, 2, 3"""
 
 
+def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as two files of a stream, the second with changed and new ones, upserted batch by batch; a rebuild is due only once."""
+    store = _store(spark)
+    c, files = spark.read.parquet(f"{sf_dir}/customer.parquet"), f"{store.root}/changes"
+    c.where("c_nationkey < 15").select("c_custkey", "c_name", F.lit(0).alias("change")).coalesce(1).write.parquet(files)
+    rebuilds: list[int] = []
+    due = V.Debounced(lambda: rebuilds.append(1))
+
+    def upsert(batch: DataFrame, _: int) -> None:
+        store.merge(batch, "crm", "customer", ["c_custkey"])
+        due()
+
+    for _ in range(2):
+        stream = spark.readStream.schema("c_custkey long, c_name string, change int").parquet(files)
+        V.merge_batches(stream, upsert, f"{store.root}/at", {"availableNow": True}).awaitTermination()
+        if c is not None:
+            c.where("c_nationkey >= 10").select("c_custkey", F.upper("c_name").alias("c_name"), F.lit(1).alias("change")).coalesce(1).write.mode("append").parquet(files)
+            c = None
+    return store.read("crm", "customer").withColumn("rebuilds", F.lit(len(rebuilds)))
+
+
+Q["stream_merge"] = stream_merge
+S["stream_merge"] = """SELECT c_custkey, CASE WHEN c_nationkey >= 10 THEN upper(c_name) ELSE c_name END AS c_name, CASE WHEN c_nationkey >= 10 THEN 1 ELSE 0 END AS change, 1 AS rebuilds FROM customer"""
+
+
 def model_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders to monthly sums to yearly maxima, built again in order after the input changed."""
     store = _store(spark)
@@ -85,6 +110,12 @@ Q["declared_metrics"] = lambda spark, sf_dir: Z.metrics(spark.read.parquet(f"{sf
 S["declared_metrics"] = """SELECT l_linestatus, count(1) AS lines, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS returned,
 max(CASE WHEN l_quantity < 40 AND l_linestatus IN ('O', 'F') THEN l_quantity END) AS large FROM lineitem GROUP BY 1"""
 
+_ALL = [Z.Metric(a, "l_quantity", a, (Z.Predicate("l_shipdate", "isNotNull"), Z.Predicate("l_returnflag", "ne", "A"))) for a in ("count", "sum", "avg", "min", "max", "median", "std")]
+_ALL += [Z.Metric(a, "l_linestatus", a, (Z.Predicate("l_linestatus", "contains", "O"),)) for a in ("first", "last")]  # equal within a group
+Q["declared_aggregates"] = lambda spark, sf_dir: Z.metrics(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_linenumber", "l_linestatus"], _ALL).withColumns({c: F.round(c, 6) for c in ("sum", "avg", "std")})
+S["declared_aggregates"] = """WITH l AS (SELECT *, CASE WHEN l_shipdate IS NOT NULL AND l_returnflag <> 'A' THEN l_quantity END AS q, CASE WHEN l_linestatus = 'O' THEN 'O' END AS o FROM lineitem)
+SELECT l_linenumber, l_linestatus, count(q) AS count, round(sum(q), 6) AS sum, round(avg(q), 6) AS avg, min(q) AS min, max(q) AS max, median(q) AS median, round(stddev_samp(q), 6) AS std, min(o) AS first, max(o) AS last FROM l GROUP BY 1, 2"""
+
 
 def resolved_meanings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as columns with opinions of four layers."""
@@ -98,3 +129,6 @@ Q["resolved_meanings"] = resolved_meanings
 S["resolved_meanings"] = """WITH o AS (SELECT CAST(c_nationkey AS VARCHAR) AS col, c_custkey % 4 AS layer, c_custkey AS at_, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS role,
 CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS description FROM customer)
 SELECT col AS "column", nullif(arg_min(role, (layer, -at_)) FILTER (role IS NOT NULL), '') AS role, nullif(arg_min(description, (layer, -at_)) FILTER (description IS NOT NULL), '') AS description FROM o GROUP BY 1"""
+
+Q["semantic_coverage"] = lambda spark, sf_dir: Z.coverage(resolved_meanings(spark, sf_dir))
+S["semantic_coverage"] = f"""WITH r AS ({S["resolved_meanings"]}) SELECT count(*) AS columns, count(role) AS with_role, count(description) AS described FROM r"""
