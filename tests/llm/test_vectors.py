@@ -106,9 +106,19 @@ def test_components(spark, few):
     assert dict(map(tuple, common.components(df, few).collect())) == {x: top(x) for x in above}
 
 
-def test_numbered(spark):
+@pytest.mark.parametrize("joined", ["true", "false"])
+def test_numbered(spark, joined):
+    """Over one partition that adaptive execution made of all, and over several."""
     from pyspark.sql import functions as F
 
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", joined)
+    try:
+        check_numbered(spark, F)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def check_numbered(spark, F):
     df = spark.range(500).select(F.col("id"), F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 5).alias("g"))
     got = common.numbered(df, "g", [F.desc("id")], "slot").collect()
     want = {}

@@ -95,11 +95,12 @@ def numbered(df: DataFrame, group: str, order: list, out: str) -> DataFrame:
     """Adds `out`, a gapless number from 0 within each group (never null) in the given order.
 
     Rows are dealt by range over (group, order), so a group that holds most rows spreads over many
-    tasks; only one count per partition and group goes through a window. df should be narrow.
+    tasks, as many as adaptive execution finds work for; only one count per partition and group goes
+    through a window. df should be narrow.
     """
     dealt = (
         written(df)
-        .repartitionByRange(partitions(df.sparkSession), F.col(group), *order)
+        .repartitionByRange(F.col(group), *order)
         .sortWithinPartitions(F.col(group), *order)
         .withColumn("_at", F.monotonically_increasing_id())
     )

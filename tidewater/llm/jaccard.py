@@ -128,7 +128,8 @@ def frequent_shingles(texts: DataFrame, words: int = WORDS, listed: int = LISTED
                 names=["token", "n", "squares"],
             )
 
-    sent = texts.mapInArrow(count, "range int, payload binary").repartition(partitions(texts.sparkSession), "range").sortWithinPartitions("range")
+    # Without a number of its own, so that adaptive execution makes as many tasks, and files, as the counts fill.
+    sent = texts.mapInArrow(count, "range int, payload binary").repartition("range").sortWithinPartitions("range")
     found = written(sent.mapInArrow(add, "token long, n long, squares double"))
     mean = found.where("token is null").agg(F.sum("squares") / F.sum("n")).first()[0] or 1.0
     found = found.where("token is not null").withColumn("grade", F.floor(F.log2("n")).cast("int"))
@@ -417,15 +418,14 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
     members = written(_blocked(members, ["n", "node"]))
     # First blocks with themselves and their neighbours by size, which joins up what is much alike.
     near = F.expr("y.block - x.block between 0 and 1")
-    first = written(_compared(texts, members, _meetings(members, near), words))
-    joined = components(first)
+    joined = components(_compared(texts, members, _meetings(members, near), words))
     # Then, in groups of several blocks, what these didn't compare: blocks anew by component, all pairs but those within one.
     large = members.groupBy("grp").agg(F.max("block").alias("last")).where("last > 1").select("grp")
     rest = members.join(large, "grp", "left_semi").drop("block").join(joined, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
     rest = written(_blocked(rest, ["part", "n", "node"]))
     apart = F.expr("x.block <= y.block and not (x.part = x.last_part and x.part = y.part and y.part = y.last_part)")
-    second = written(_compared(texts, rest, _meetings(rest, apart), words))
-    linked = components(first.union(second))
+    stars = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))  # they connect what the first links did
+    linked = components(stars.union(_compared(texts, rest, _meetings(rest, apart), words)))
     named = nodes.join(linked, "node", "left").withColumn("top", F.coalesce("root", "node"))
     least = named.groupBy("top").agg(F.min("doc_id").alias("component_id"))
     fate = written(named.join(least, "top").select("node", "component_id"))
