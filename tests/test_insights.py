@@ -153,6 +153,18 @@ def test_concentration_with_equal_segments(spark):
     assert got.gini == pytest.approx(1 - area / 7)
 
 
+def test_concentration_of_sums_whose_last_digits_vary(spark):
+    """Sums of doubles depend on their order, which differs whenever a plan is computed again; here each value does."""
+    digits = F.udf(lambda v: v * (1 + random.SystemRandom().uniform(-1e-12, 1e-12)), "double").asNondeterministic()
+    sums = [100.0 + i for i in range(40)]
+    df = spark.createDataFrame([("p", str(i), v) for i, v in enumerate(sums)], "period string, d string, v double").withColumn("v", digits("v"))
+    got = I.concentration(df, ["d"], ["v"], hhi=0.0).first()
+    total = sum(sums)
+    area = sum((2 * sum(sums[:i]) + v) / total for i, v in enumerate(sums))
+    assert (got.segments, got["rows"]) == (40, 40) and got.hhi == pytest.approx(sum((v / total) ** 2 for v in sums))
+    assert got.top_share == pytest.approx(sum(sums[-3:]) / total * 100) and got.gini == pytest.approx(1 - area / 40)
+
+
 def test_membership_counts_all_and_lists_the_first(spark):
     base = spark.createDataFrame([("1", f"old{i:03d}") for i in range(30)] + [("2", f"new{i:03d}") for i in range(40)] + [("1", "both"), ("2", "both"), ("2", None)], "period string, d string")
     got = I.membership(base, ["d"], "2", "1", listed=3).first()

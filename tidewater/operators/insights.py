@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tidewater.functions import statistics as st
 from tidewater.functions.periods import any_day, label
+from tidewater.session import stored
 
 #: Values of a dimension that get series, the least share of rows, and series in all.
 TOP_VALUES, MIN_IMPACT, BUDGET = 12, 0.02, 20_000
@@ -255,6 +256,7 @@ def running(cells: DataFrame, keys: list[str], at: str, sums: list[str], buckets
 
     A key may hold most rows: they are cut at approximate quantiles into buckets, which are summed
     one by one; only keys x buckets rows meet in one place. Keys should be few, such as columns.
+    Cells are computed more than once and must be the same each time, `at` to the last digit.
     """
     shares = [i / buckets for i in range(1, buckets)]
     cuts = cells.groupBy(*keys).agg(F.percentile_approx(at, shares, 10 * buckets).alias("_cuts"))
@@ -296,7 +298,8 @@ def concentration(base: DataFrame, dims: list[str], measures: list[str], hhi: fl
     sums = rows.groupBy("dimension", "measure", "value").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
     # Segments of one sum are one row; where m of them follow an area below, they add m steps to the Lorenz curve.
     sizes = sums.groupBy("dimension", "measure", "s").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).withColumn("t", F.col("m") * F.col("s"))
-    sizes = running(sizes, ["dimension", "measure"], "s", ["m", "t"])
+    # A sum of doubles may end in other digits when it is computed again, and so miss its bucket: the sums are written once.
+    sizes = running(stored(sizes, "sizes"), ["dimension", "measure"], "s", ["m", "t"])
     share, below = F.col("s") / F.col("t_all"), (F.col("t_upto") - F.col("t")) / F.col("t_all")
     leading = F.greatest(F.lit(0), F.least(F.col("m"), 3 - (F.col("m_all") - F.col("m_upto"))))
     row = sizes.groupBy("dimension", "measure").agg(
