@@ -62,6 +62,11 @@ def merge_batches(stream: DataFrame, merge: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
 
 
+def replace_batches(result: DataFrame, replace: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None):
+    """A query that hands the whole result so far of an aggregation to a replacement with every micro-batch; executors write it, the driver holds no rows."""
+    return result.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+
+
 class Debounced:
     """Calls a function at most once in so many seconds, for work that follows batches."""
 

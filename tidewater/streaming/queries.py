@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +23,8 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = f"{store.root}/in"
     raw.select(F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("user_id").cast("string").alias("user_id"), F.lit("").alias("visitor_id"), F.col("event_type").alias("event_name")).write.parquet(files)
     stream = spark.readStream.schema("id string, timestamp timestamp, user_id string, visitor_id string, event_name string").parquet(files)
-    name = f"sessions_{uuid.uuid4().hex}"
-    query = V.sessions(stream, "0 seconds").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{store.root}/at").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select("who", "events", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"))
+    V.replace_batches(V.sessions(stream, "0 seconds"), lambda batch, _: store.write(batch, "web", "sessions"), f"{store.root}/at", {"availableNow": True}).awaitTermination()
+    return store.read("web", "sessions").select("who", "events", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"))
 
 
 Q["stream_sessions"] = stream_sessions
