@@ -44,3 +44,12 @@ def test_a_later_run_replaces_the_whole_result(spark, tmp_path):
         sessions = V.sessions(spark.readStream.schema(shape).parquet(files), "2 hours")
         V.replace_batches(sessions, lambda batch, _: store.write(batch, "web", "sessions"), f"{tmp_path}/at", {"availableNow": True}).awaitTermination()
     assert sorted((r.events, r.started, r.ended) for r in store.read("web", "sessions").collect()) == [(1, *minutes(90, 90)), (3, *minutes(0, 50))]
+
+
+def test_state_of_a_whole_result_is_on_disk(spark, tmp_path):
+    shape = "id string, timestamp timestamp, user_id string, visitor_id string, event_name string"
+    spark.createDataFrame([("1", START, "u", "", "pageview")], shape).write.parquet(f"{tmp_path}/in")
+    before = {k: spark.conf.get(k, None) for k in V.STATE}
+    V.replace_batches(V.sessions(spark.readStream.schema(shape).parquet(f"{tmp_path}/in")), lambda batch, _: batch.write.parquet(f"{tmp_path}/out"), f"{tmp_path}/at", {"availableNow": True}).awaitTermination()
+    assert list((tmp_path / "at/state/0").glob("*/1.zip"))  # RocksDB's snapshots; the state in memory writes .delta files
+    assert before == {k: spark.conf.get(k, None) for k in V.STATE}

@@ -16,6 +16,12 @@ from tidewater.operators.events import identity
 
 #: A gap of exactly 30 minutes begins a new session, while session_window keeps it in one.
 GAP = "29 minutes 59.999999 seconds"
+#: State of a query whose result is never closed: RocksDB on local disks, with so many MB of memory in an executor.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+}
 RAW = "id string, timestamp timestamp, source string, visitor_id string, user_id string, event_name string, url string, referrer string, user_agent string, ip string, screen_width int, properties string"
 
 
@@ -63,8 +69,19 @@ def merge_batches(stream: DataFrame, merge: Callable[[DataFrame, int], None], ch
 
 
 def replace_batches(result: DataFrame, replace: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None):
-    """A query that hands the whole result so far of an aggregation to a replacement with every micro-batch; executors write it, the driver holds no rows."""
-    return result.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+    """A query that hands the whole result so far of an aggregation to a replacement with every micro-batch.
+
+    Executors write it, and the driver holds no rows. The state is kept on the executors' disks.
+    """
+    conf = result.sparkSession.conf
+    before = {k: conf.get(k, None) for k in STATE}
+    try:
+        for k, v in STATE.items():
+            conf.set(k, v)
+        return result.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 class Debounced:
